@@ -3,7 +3,33 @@
 from __future__ import annotations
 
 from reviewloom.common import table
-from reviewloom.llm import mixing, packing, repetition
+from reviewloom.llm import canonical, mixing, packing, repetition, variants
+
+
+def _linked(spark, d):
+    rows = table(spark, d, "normalized_output_example").select("agency", "author", "project")
+    return variants.link(variants.review_values(rows), variants.known_agencies(table(spark, d, "canonical_values")))
+
+
+def p4_found(spark, d):
+    return variants.pairs_of(_linked(spark, d))
+
+
+def p4_entities(spark, d):
+    return _linked(spark, d)
+
+
+def _mapped(spark, d):
+    rows = table(spark, d, "normalized_output_example").select("agency", "status", "comment_type")
+    return canonical.match(canonical.review_values(rows), table(spark, d, "canonical_values"))
+
+
+def p5_found(spark, d):
+    return _mapped(spark, d).select("field_name", "raw_value", "canonical_value")
+
+
+def p5_unmatched(spark, d):
+    return _mapped(spark, d).where("canonical_value = 'UNMATCHED'").select("field_name", "raw_value")
 
 
 def p6_containers(spark, d):
@@ -34,5 +60,5 @@ def p8_repetition(spark, d):
     return repetition.judged(_docs(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p6_containers, p6_usage, p7_mixture, p7_shares, p8_found, p8_repetition)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_entities, p5_found, p5_unmatched, p6_containers, p6_usage, p7_mixture, p7_shares, p8_found, p8_repetition)}
 SQL: dict[str, str] = {}
