@@ -3,7 +3,19 @@
 from __future__ import annotations
 
 from reviewloom.common import table
-from reviewloom.llm import canonical, mixing, packing, repetition, variants
+from reviewloom.llm import canonical, mixing, packing, pii, repetition, variants
+
+
+def _review(spark, d):
+    return table(spark, d, "normalized_output_example").select("rec_id", "author", "comment_text", "response_text")
+
+
+def p1_found(spark, d):
+    return pii.mentions(_review(spark, d)).select("rec_id", "field_name", "pii_type", "ordinal")
+
+
+def p1_redacted(spark, d):
+    return pii.redact(_review(spark, d)).drop("author")
 
 
 def _linked(spark, d):
@@ -60,5 +72,5 @@ def p8_repetition(spark, d):
     return repetition.judged(_docs(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_entities, p5_found, p5_unmatched, p6_containers, p6_usage, p7_mixture, p7_shares, p8_found, p8_repetition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_entities, p5_found, p5_unmatched, p6_containers, p6_usage, p7_mixture, p7_shares, p8_found, p8_repetition)}
 SQL: dict[str, str] = {}
