@@ -50,7 +50,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def bytes_of(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, for deciding on a broadcast."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def maybe_broadcast(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
