@@ -101,5 +101,5 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, vo
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Target and reached share of each source, the uses of its documents and their most."""
     per = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("uses"), (F.max("use_no") + 1).alias("most_uses"))
-    x = targets.join(per, "source", "left").fillna(0, ["tokens", "uses", "most_uses"])
+    x = targets.select("source", "target_share", "max_repeats").join(per, "source", "left").fillna(0, ["tokens", "uses", "most_uses"])
     return x.withColumn("actual_share", F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(W.partitionBy())), F.lit(0.0)))

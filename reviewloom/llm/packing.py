@@ -81,16 +81,17 @@ def pack(docs: DataFrame, specs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY
     if not boxes:
         return docs.sparkSession.createDataFrame([], _OUT)
     groups = max(1, -(-docs.count() // group))
-    sized = docs.select("doc_id", token_count(F.col("text"), vocabulary).alias("n"), F.xxhash64("doc_id").alias("h"))
+    sized = docs.select(F.col("doc_id").cast("string"), token_count(F.col("text"), vocabulary).alias("n"), F.xxhash64("doc_id").alias("h"))
     sized = sized.withColumn("g", F.pmod("h", F.lit(groups)))
 
     def fill(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "doc_id", "n"], kind="stable")
-        ids, sizes, rows = pdf.doc_id.tolist(), pdf.n.tolist(), []
+        ids, sizes, rows = [None if x is None else int(x) for x in pdf.doc_id], pdf.n.tolist(), []
         for name, capacity in boxes:
             for doc, pieces in zip(ids, best_fit(sizes, capacity, n_open)):
                 rows += [(name, f"{name}-{key[0]}-{b}", doc, i, a, n, capacity) for i, (b, a, n) in enumerate(pieces)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")])
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")])
+        return out.astype({"doc_id": "Int64"})
 
     return sized.groupBy("g").applyInPandas(fill, _OUT)
 

@@ -40,7 +40,6 @@ def _plain(kind: str, s: str) -> str:
 
 def _pieces(s: str, probe: bool) -> list[str]:
     """Keys by which strings with at most two slips meet: equal pieces at near positions."""
-    k = 3 if len(s) >= 9 else 2
     out = set()
     for n in range(len(s) - 2, len(s) + 3) if probe else (len(s),):
         kk = 3 if n >= 9 else 2
@@ -51,7 +50,7 @@ def _pieces(s: str, probe: bool) -> list[str]:
             for shift in range(-2, 3) if probe else (0,):
                 if 0 <= a + shift and b + shift <= len(s):
                     out.add(f"{i}:{n}:{s[a + shift:b + shift]}")
-    return sorted(out) if k else []
+    return sorted(out)
 
 
 def _keys(kind: str, plain: str, probe: bool, codes: str) -> list[str]:
@@ -63,13 +62,16 @@ def _keys(kind: str, plain: str, probe: bool, codes: str) -> list[str]:
         for s in {"".join(w), "".join(b)}:
             out.update(_pieces(s, probe))
         if len(b) > 1:
-            out.add("i:" + "".join(sorted(x[0] for x in b)))
+            # Words cut short or turned round.
+            out.add("i:" + "|".join(sorted(x[:3] for x in b)))
+        # Initials meet full names only, in either order of frequency.
+        full, short = ("f:", "s:") if probe else ("s:", "f:")
         if len(w) > 1:
-            out.update("a:" + x for x in N.initials(w))
-            out.update("a:" + x for x in (w[0], w[-1]) if 2 <= len(x) <= 6)
+            out.update(full + x for x in N.initials(w))
+            out.update(short + x for x in (w[0], w[-1]) if 2 <= len(x) <= 6)
         elif 2 <= len(plain) <= 6:
-            out.add("a:" + plain)
-        out.update("a:" + x for x in codes.split())
+            out.add(short + plain)
+        out.update(full + x for x in codes.split())
         return sorted(out)
     for reading in plain.split("|"):
         given, _, family = reading.partition("/")
