@@ -78,7 +78,7 @@ def keyword_judge() -> Texts:
         out = []
         for p in prompts:
             a, _, b = p.partition("\nColumn B: ")
-            words = [set(re.findall(r"[a-z]{4,}", re.sub(r"_", " ", x.split(":", 1)[-1].split(".")[0].lower()))) - {"column", "values", "under", "header", "text"} for x in (a, b)]
+            words = [set(re.findall(r"[a-z]{4,}", re.sub(r"_", " ", x.split(":", 1)[-1].split(".")[0].lower()))) - {"this", "holds", "column", "values", "under", "header", "text"} for x in (a, b)]
             out.append("Yes" if words[0] & words[1] else "No")
         return out
 
