@@ -5,7 +5,8 @@ weight w is released at slot floor(j/w) and due by slot ceil((j+1)/w); earliest
 deadline first fills the slots, so at every point each source is less than one
 block from its share. Each source's documents, in a fixed pseudo-random order,
 form a line of tokens that is repeated as often as its blocks need; the line is
-cut into blocks and every document follows its block's slot.
+cut into blocks and every document follows its block's slot. Documents stay
+whole, so a source misses its share by half a document and a block at most.
 
 The size of the mixture is the largest at which no source needs a document more
 than `max_repeats` times, unless `total_tokens` asks for more; then short
@@ -91,8 +92,11 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, vo
     before = sums.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).drop("n")
     at = F.sum("n_tokens").over(W.partitionBy("source", "bucket").orderBy("h", "doc_id")) - F.col("n_tokens")
     x = sized.withColumn("at", at).join(before, ["source", "bucket"]).join(F.broadcast(lines), "source")
-    x = x.withColumn("start", F.col("at") + F.col("before")).where("start < take")
-    uses = F.expr("sequence(0, cast((take - start - 1) div line as int))")
+    x = x.withColumn("start", F.col("at") + F.col("before"))
+    # A document is used where its middle lies before the end of its source's share.
+    room = F.expr("2 * take - 2 * start - n_tokens - 1")
+    x = x.withColumn("room", room).where("room >= 0")
+    uses = F.expr("sequence(0, cast(room div (2 * line) as int))")
     x = x.withColumn("use_no", F.explode(uses)).withColumn("token_offset", F.col("start") + F.col("use_no") * F.col("line"))
     x = x.withColumn("block", F.floor(F.col("token_offset") / F.lit(block)).cast("int"))
     return x.join(F.broadcast(sched), ["source", "block"]).select(*[c.split()[0] for c in empty.split(", ")])  # SLOTS rows

@@ -18,6 +18,7 @@ each for itself; equal ids stay in one group.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,8 +76,6 @@ _OUT = "spec_name string, container_id string, doc_id bigint, piece int, first_t
 
 def pack(docs: DataFrame, specs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, group: int = GROUP, n_open: int = OPEN) -> DataFrame:
     """One row per piece of a document in a container of each capacity."""
-    import pandas as pd
-
     boxes = [(r.spec_name, int(r.capacity_tokens)) for r in specs.where("capacity_tokens > 0").collect()]  # a fixed table
     if not boxes:
         return docs.sparkSession.createDataFrame([], _OUT)
@@ -84,14 +83,16 @@ def pack(docs: DataFrame, specs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY
     sized = docs.select(F.col("doc_id").cast("string"), token_count(F.col("text"), vocabulary).alias("n"), F.xxhash64("doc_id").alias("h"))
     sized = sized.withColumn("g", F.pmod("h", F.lit(groups)))
 
-    def fill(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "doc_id", "n"], kind="stable")
         ids, sizes, rows = [None if x is None else int(x) for x in pdf.doc_id], pdf.n.tolist(), []
         for name, capacity in boxes:
             for doc, pieces in zip(ids, best_fit(sizes, capacity, n_open)):
                 rows += [(name, f"{name}-{key[0]}-{b}", doc, i, a, n, capacity) for i, (b, a, n) in enumerate(pieces)]
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")])
-        return out.astype({"doc_id": "Int64"})
+        # Nulls among large numbers: never through floats.
+        out["doc_id"] = pd.array([r[2] for r in rows], dtype="Int64")
+        return out
 
     return sized.groupBy("g").applyInPandas(fill, _OUT)
 
