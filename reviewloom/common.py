@@ -56,3 +56,13 @@ def bytes_of(df: DataFrame) -> int:
 def maybe_broadcast(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
     """A broadcast hint behind a size check; otherwise Catalyst chooses the join."""
     return F.broadcast(df) if bytes_of(df) <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores.
+
+    A scan of large data has them already and is left alone; only a small input
+    that came as one piece is dealt out before a costly per-row stage.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

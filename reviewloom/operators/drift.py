@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from reviewloom.common import is_empty
+from reviewloom.common import cut, is_empty
 
 # Field -> headers that name it, as compared by `header_key`.
 ALIASES = {
@@ -119,7 +119,8 @@ def events(cat: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, Data
 
 def changes(manifest: DataFrame, cells: DataFrame, pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Every change of a producer's layout: (source_file, change_kind, old_column, new_column)."""
-    cat = catalogue(manifest, cells, pairs)
+    # The catalogue is small and used three times; it is written once.
+    cat = cut(catalogue(manifest, cells, pairs))
     files = manifest.select("project", "source_file", F.row_number().over(W.partitionBy("project").orderBy("delivery_no", "source_file")).alias("seq"))
     stays, starts, ends = events(cat, files)
 
