@@ -27,7 +27,7 @@ from math import ceil, floor
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from reviewloom.common import cut
+from reviewloom.common import cut, spread
 from reviewloom.llm.tokens import DEFAULT_VOCABULARY, token_count
 
 SLOTS = 2048
@@ -71,7 +71,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, vo
         return spark.createDataFrame([], empty)
     buckets = max(1, -(-docs.count() // bucket))
     h = F.xxhash64("doc_id", F.lit(7))
-    sized = docs.where(F.col("source").isin(*goal)).select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("n_tokens"), h.alias("h"))
+    sized = spread(docs.where(F.col("source").isin(*goal)).select("doc_id", "source", "text")).select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("n_tokens"), h.alias("h"))
     sized = cut(sized.where("n_tokens > 0").withColumn("bucket", F.pmod("h", F.lit(buckets))))
     sums = sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"))
     sizes = {r.source: int(r.n) for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # a row per target

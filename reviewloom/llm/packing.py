@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.common import spread
 from reviewloom.llm.tokens import DEFAULT_VOCABULARY, token_count
 
 GROUP = 20_000
@@ -80,7 +81,7 @@ def pack(docs: DataFrame, specs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY
     if not boxes:
         return docs.sparkSession.createDataFrame([], _OUT)
     groups = max(1, -(-docs.count() // group))
-    sized = docs.select(F.col("doc_id").cast("string"), token_count(F.col("text"), vocabulary).alias("n"), F.xxhash64("doc_id").alias("h"))
+    sized = spread(docs.select("doc_id", "text")).select(F.col("doc_id").cast("string"), token_count(F.col("text"), vocabulary).alias("n"), F.xxhash64("doc_id").alias("h"))
     sized = sized.withColumn("g", F.pmod("h", F.lit(groups)))
 
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.common import cut
+from reviewloom.common import cut, spread
 
 RUN = 6
 SHARE = 0.3
@@ -99,7 +99,7 @@ def measures(docs: DataFrame) -> DataFrame:
         for s in batches:
             yield pd.DataFrame([measure(t) for t in s], columns=["n_words", "n_repeated", "line_share", "paragraph_share"])
 
-    x = docs.select("doc_id", "project", "source", run("text").alias("m")).select("doc_id", "project", "source", "m.*")
+    x = spread(docs.select("doc_id", "project", "source", "text")).select("doc_id", "project", "source", run("text").alias("m")).select("doc_id", "project", "source", "m.*")
     return x.withColumn("repeated_share", F.when(F.col("n_words") > 0, F.col("n_repeated") / F.col("n_words")).otherwise(0.0))
 
 
