@@ -48,14 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bytes_of(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, for deciding on a broadcast."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def maybe_broadcast(df: DataFrame, most: int = 1000) -> DataFrame:
+    """df as a broadcast table if it has at most `most` rows, which is counted; else as it is.
 
-
-def maybe_broadcast(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
-    """A broadcast hint behind a size check; otherwise Catalyst chooses the join."""
-    return F.broadcast(df) if bytes_of(df) <= limit else df
+    For lists (targets, dictionaries) that are short but whose plan does not show it.
+    """
+    rows = df.limit(most + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from reviewloom.common import is_empty
+from reviewloom.common import cut, is_empty
 
 
 @dataclass(frozen=True)
@@ -149,5 +149,8 @@ def load_findings(st: DataFrame, constraints=REVIEW_CONSTRAINTS, null_step: floa
 
 
 def findings(df: DataFrame) -> DataFrame:
-    """All faulty cells and unusual loads of the review table."""
-    return cell_findings(df).unionByName(load_findings(states(df)))
+    """All faulty cells and unusual loads of the review table.
+
+    The states are a few rows per value; they are written once and serve all metrics.
+    """
+    return cell_findings(df).unionByName(load_findings(cut(states(df))))

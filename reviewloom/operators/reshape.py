@@ -53,13 +53,18 @@ def _all(tests) -> Column:
 
 def sequential_round(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """1, 2, … per identifier in file order; a null identifier has none."""
-    n = F.row_number().over(W.partitionBy(*keys).orderBy(order))
+    n = F.row_number().over(_group(keys, order).orderBy(order))
     return rows.withColumn("round_no", F.when(_all(F.col(k).isNotNull() for k in keys), n))
 
 
+def _group(keys: list[str], order: str):
+    """Windows per key; rows with a null key stand alone instead of forming one large group."""
+    return W.partitionBy(*keys, F.when(~_all(F.col(k).isNotNull() for k in keys), F.col(order)))
+
+
 def mixed_round(rows: DataFrame, keys: list[str], extracted: str, order: str) -> DataFrame:
     """The extracted round, else the group's highest plus a running count of rows without one."""
-    p = W.partitionBy(*keys)
+    p = _group(keys, order)
     upto = F.sum(F.col(extracted).isNull().cast("int")).over(p.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
     n = F.coalesce(F.col(extracted), F.coalesce(F.max(extracted).over(p), F.lit(0)) + upto).cast("int")
     return rows.withColumn("round_no", F.when(_all(F.col(k).isNotNull() for k in keys), n))

@@ -1,6 +1,6 @@
 """Queries of the data quality profile and their SQL twins."""
 
-from reviewloom.common import sql_empty, table
+from reviewloom.common import cut, sql_empty, table
 from reviewloom.operators import profile as P
 
 _COLS = ("round", "date_received", "status", "source_file")
@@ -57,7 +57,7 @@ def p2_profile(spark, d):
 def p2_control_limits(spark, d):
     from pyspark.sql import functions as F
 
-    x = P.control_limits(P.profile(P.states(_base(spark, d))))
+    x = P.control_limits(P.profile(cut(P.states(_base(spark, d)))))
     return x.select("load_no", "column_name", F.round("empty_share", 6).alias("empty_share"), F.round("centre", 6).alias("centre"), "signal")
 
 

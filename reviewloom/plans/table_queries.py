@@ -278,7 +278,7 @@ _P1, _P2 = r"(?i)([-_\s]R(\d+))([-_\s.]|$)", r"(?i)([-_\s]Round\s*(\d+))([-_\s.]
 @query(
     f"WITH v AS (SELECT rec_id, source_file, {strip('comment_id')} AS s FROM {_N}), h AS (SELECT *, coalesce({first('s', _P1, 1)}, {first('s', _P2, 1)}) AS hit, TRY_CAST(coalesce({first('s', _P1, 2)}, {first('s', _P2, 2)}) AS INT) AS x FROM v),"
     f" b AS (SELECT *, CASE WHEN hit IS NULL THEN s ELSE {strip('s[1:instr(s, hit) - 1] || s[instr(s, hit) + length(hit):]')} END AS base_id FROM h)"
-    " SELECT rec_id, base_id, CASE WHEN base_id IS NOT NULL AND source_file IS NOT NULL THEN coalesce(x, coalesce(max(x) OVER (PARTITION BY source_file, base_id), 0) + sum((x IS NULL)::INT) OVER (PARTITION BY source_file, base_id ORDER BY rec_id ROWS UNBOUNDED PRECEDING)) END AS round_no FROM b"
+    " SELECT rec_id, base_id, CASE WHEN base_id IS NOT NULL AND source_file IS NOT NULL THEN coalesce(x, coalesce(max(x) OVER (PARTITION BY source_file, base_id), 0) + sum((x IS NULL)::INT) OVER (PARTITION BY source_file, base_id ORDER BY rec_id ROWS UNBOUNDED PRECEDING))::INT END AS round_no FROM b"
 )
 def mixed_round(spark, d):
     return S.long_rounds(table(spark, d, _N).select("rec_id", "source_file", "comment_id"), "source_file", "comment_id", "rec_id").select("rec_id", "base_id", "round_no")
