@@ -20,7 +20,7 @@ NICKNAMES = {
     "david": "dave davy", "deborah": "deb debbie debby", "dorothea": "dot dottie thea dora", "dorothy": "dot dottie", "eamon": "ed eddie", "edward": "ed ted eddie ned",
     "elizabeth": "liz beth betty eliza lizzie libby lisa", "frederick": "fred freddie freddy", "gregory": "greg", "harriet": "hattie harry", "henry": "harry hank", "ingrid": "inge",
     "jacqueline": "jackie jacqui", "james": "jim jimmy jamie", "jennifer": "jen jenny jenn", "joaquin": "quino", "john": "jack johnny", "joseph": "joe joey", "katherine": "kate kathy katie kat kitty kath",
-    "lawrence": "larry laurie lars", "leilani": "lani lei", "margaret": "peggy maggie meg marge madge", "matthew": "matt", "michael": "mike mick mickey", "nathaniel": "nat nate nathan", "nicholas": "nick",
+    "lawrence": "larry laurie lars", "leilani": "lani lei", "mei-lin": "mei", "margaret": "peggy maggie meg marge madge", "matthew": "matt", "michael": "mike mick mickey", "nathaniel": "nat nate nathan", "nicholas": "nick",
     "noemie": "noe mimi", "oluchi": "olu", "patricia": "pat patty trish tricia", "patrick": "pat paddy", "priya": "pri", "rashid": "rash", "rebecca": "becky", "richard": "rick dick rich richie ricky",
     "robert": "bob rob bobby robbie bert", "samuel": "sam", "soraya": "raya", "stephen": "steve", "susan": "sue susie", "susannah": "sue susie susan anna", "theodore": "ted theo teddy", "thomas": "tom tommy",
     "tomasz": "tom tomek", "victoria": "vicky vic tori vickie", "wilhelmina": "mina willa billie wilma minnie", "william": "will bill billy willy liam", "yusuf": "joe yus", "zsofia": "zsofi sofia",
