@@ -1,9 +1,13 @@
 """Queries over files whose layout drifts."""
 
-from reviewloom.common import table
+from reviewloom.common import sql_empty, table
 from reviewloom.operators import drift as D
 
 
+def _Q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
 def _in(spark, d):
     return [table(spark, d, n) for n in ("workbook_manifest", "workbook_cells", "jellyfish_input_example")]
 
@@ -22,4 +26,39 @@ def p3_unified(spark, d):
 
 
 QUERIES = {"p3_found": p3_found, "p3_lifespans": p3_lifespans, "p3_unified": p3_unified}
-SQL: dict[str, str] = {}
+
+_E = sql_empty("cell_value")
+_TRIM = "regexp_replace({c}, '^ +| +$', '', 'g')"
+_KEY = r"trim(regexp_replace(regexp_replace(lower({c}), '[''’]', '', 'g'), '[^\p{{L}}\p{{Nd}}]+', ' ', 'g'))"
+_CATALOGUE = (
+    "files AS (SELECT project, source_file, row_number() OVER (PARTITION BY project ORDER BY delivery_no, source_file) AS seq FROM workbook_manifest),"
+    " sc AS (SELECT * FROM (SELECT c.*, m.header_row, min((CASE WHEN sheet = sheet_name THEN 0 ELSE 1 END, sheet_idx)) OVER (PARTITION BY source_file) AS pick FROM workbook_cells c JOIN workbook_manifest m USING (source_file)) WHERE sheet_idx = pick[2]),"
+    f" heads AS (SELECT source_file, {_TRIM.format(c='cell_value')} AS header, min(col_idx) AS col_idx FROM sc WHERE row_idx = header_row AND NOT {_E} GROUP BY ALL),"
+    f" kinds AS (SELECT source_file, col_idx, vtype, count(*) AS n, list(DISTINCT regexp_replace(regexp_replace(cell_value, '\\p{{L}}+', 'a', 'g'), '\\p{{Nd}}+', '9', 'g')[1:12]) AS s FROM sc WHERE row_idx > header_row AND NOT {_E} GROUP BY ALL),"
+    " kind AS (SELECT source_file, col_idx, arg_min(vtype, (-n, vtype)) AS vtype, list_distinct(flatten(list(s))) AS shapes FROM kinds GROUP BY ALL),"
+    f" alias(k, field) AS (VALUES {', '.join(f'({_Q(n)}, {_Q(f)})' for f, ns in D.ALIASES.items() for n in ns)}),"
+    f" cat AS (SELECT f.project, f.source_file, f.seq, h.header, h.col_idx, k.vtype, k.shapes, a.field, {_KEY.format(c='h.header')} AS key FROM files f JOIN heads h USING (source_file) LEFT JOIN kind k USING (source_file, col_idx) LEFT JOIN alias a ON a.k = {_KEY.format(c='h.header')})"
+)
+_PAIRED = (
+    " x AS (SELECT *, lag(seq) OVER w AS before, lag(vtype) OVER w AS old_vtype, lead(seq) OVER w AS after FROM cat WINDOW w AS (PARTITION BY project, header ORDER BY seq)),"
+    " fin AS (SELECT project, max(seq) AS last FROM files GROUP BY 1),"
+    " s AS (SELECT * FROM x WHERE seq > 1 AND (before IS NULL OR before < seq - 1)),"
+    " e AS (SELECT x.* REPLACE (x.seq + 1 AS seq) FROM x JOIN fin USING (project) WHERE x.seq < last AND (after IS NULL OR after > x.seq + 1)),"
+    " b AS (SELECT s.project, s.seq, s.header AS new, e.header AS old, s.vtype AS nv, e.vtype AS ov, coalesce(len(list_intersect(s.shapes, e.shapes)) / nullif(len(list_distinct(list_concat(s.shapes, e.shapes))), 0), 0) AS alike, s.key = e.key AS same, s.field AS nf, e.field AS of FROM s JOIN e USING (project, seq)),"
+    " sco AS (SELECT *, CASE WHEN same THEN 3.0 WHEN nf = of THEN 2.0 + alike WHEN (nf IS NULL OR of IS NULL) AND nv = ov AND alike >= 0.5 THEN alike END AS score FROM b),"
+    " p1 AS (SELECT * FROM sco WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY project, seq, new ORDER BY score DESC, old) = 1),"
+    " pr AS (SELECT * FROM p1 QUALIFY row_number() OVER (PARTITION BY project, seq, old ORDER BY score DESC, new) = 1),"
+    " lay AS (SELECT source_file, arg_min(l, (-n, l)) AS layout FROM (SELECT source_file, lower(trim(data_structure)) AS l, count(*) AS n FROM normalized_output_example GROUP BY ALL) WHERE l IN ('long', 'wide') GROUP BY 1),"
+    " lag AS (SELECT project, seq, layout, lag(layout) OVER (PARTITION BY project ORDER BY seq) AS old_layout FROM files LEFT JOIN lay USING (source_file)),"
+    " ch AS (SELECT project, seq, 'renamed' AS change_kind, old AS old_column, new AS new_column FROM pr UNION ALL SELECT project, seq, 'type_changed', old, new FROM pr WHERE ov <> nv"
+    " UNION ALL SELECT project, seq, 'type_changed', header, header FROM x WHERE before = seq - 1 AND old_vtype <> vtype"
+    " UNION ALL SELECT project, seq, 'added', '', header FROM s WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.project = s.project AND pr.seq = s.seq AND pr.new = s.header)"
+    " UNION ALL SELECT project, seq, 'removed', header, '' FROM e WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.project = e.project AND pr.seq = e.seq AND pr.old = e.header)"
+    " UNION ALL SELECT project, seq, 'structure_changed', '', '' FROM lag WHERE layout <> old_layout)"
+)
+# Every delivered file has header cells in these tables, so the pairs add no column.
+SQL: dict[str, str] = {
+    "p3_found": f"WITH {_CATALOGUE},{_PAIRED} SELECT source_file, change_kind, old_column, new_column FROM ch JOIN files USING (project, seq)",
+    "p3_lifespans": f"WITH {_CATALOGUE}, n AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY project, header, field, vtype ORDER BY seq) AS island FROM (SELECT *, coalesce(seq - lag(seq) OVER (PARTITION BY project, header, field, vtype ORDER BY seq) <> 1, true) AS new FROM cat))"
+    " SELECT project, header, field, vtype, island, min(seq) AS first_delivery, max(seq) AS last_delivery FROM n GROUP BY ALL",
+}

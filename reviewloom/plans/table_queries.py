@@ -11,7 +11,7 @@ from reviewloom.functions.similarity import name_ratio
 from reviewloom.operators import ingest as I
 from reviewloom.operators import matching as M
 from reviewloom.operators import reshape as S
-from reviewloom.plans.rule_queries import _q, first, strip
+from reviewloom.plans.rule_queries import _q, first, sql_agency_once, sql_by_dictionary, sql_date, strip
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -324,7 +324,44 @@ def union_by_name(spark, d):
     return S.union_by_name(n.where("rec_id % 2 = 0").select("rec_id", "agency"), n.where("rec_id % 2 = 1").select("rec_id", "status"))
 
 
-@query()
+_BLANKS = r"regexp_replace(author, '\s+', ' ', 'g')"
+_TITLES = f"s0 AS (SELECT *, {strip(_BLANKS)} AS a0 FROM w)"
+for _i, _t in enumerate(D.AUTHOR_TITLES):
+    _TITLES += f", s{_i + 1} AS (SELECT *, CASE WHEN starts_with(a{_i}, '{_t}') THEN {strip(f'a{_i}[{len(_t) + 1}:]')} ELSE a{_i} END AS a{_i + 1} FROM s{_i})"
+
+
+@query(
+    f"WITH v AS (SELECT *, {strip('agency')} AS ag FROM {_N}), w AS (SELECT *, {strip(sql_agency_once('ag'))} AS ag2 FROM v), {_TITLES}"
+    f" SELECT comment_id, section, topic, round, {sql_by_dictionary('comment_type', D.COMMENT_TYPES)} AS comment_type, comment_text, response_text, coalesce(a{len(D.AUTHOR_TITLES)}, '') AS author,"
+    + ", ".join(f"CASE WHEN {c} IS NULL THEN '' ELSE coalesce(CAST({sql_date(c)} AS VARCHAR), {c}) END AS {c}" for c in ("date_received", "date_responded"))
+    + f", {sql_by_dictionary('status', D.STATUSES)} AS status, CASE WHEN agency IS NULL THEN '' ELSE {sql_agency_once('ag2')} END AS agency, source_file, project, data_structure FROM s{len(D.AUTHOR_TITLES)}"
+)
 def transform(spark, d):
-    n = table(spark, d, _N)
-    return S.complete(S.transform(n))
+    return S.complete(S.transform(table(spark, d, _N)))
+
+
+# ------------------------------------------------------------ composites
+
+
+@query()
+def column_pairs(spark, d):
+    """Columns beside targets, with samples and descriptions."""
+    from reviewloom.pipeline import column_pairs as pairs
+
+    return pairs(I.read(table(spark, d, _C)))
+
+
+@query()
+def match_columns(spark, d):
+    """T9-T11 with the offline stand-ins for the models."""
+    from reviewloom import pipeline
+
+    return pipeline.match(pipeline.column_pairs(I.read(table(spark, d, _C))))
+
+
+@query()
+def normalize_workbooks(spark, d):
+    """Cells and accepted pairs to the normalized table, all files in one plan."""
+    from reviewloom import pipeline
+
+    return pipeline.normalize(I.read(table(spark, d, _C)), pipeline.mappings(table(spark, d, _MP)))
