@@ -73,4 +73,14 @@ def p8_repetition(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_entities, p5_found, p5_unmatched, p6_containers, p6_usage, p7_mixture, p7_shares, p8_found, p8_repetition)}
-SQL: dict[str, str] = {}
+# Words, runs of six, the first place of each run, and words within six of a later one.
+SQL: dict[str, str] = {
+    "p8_found": (
+        r"WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '\p{Nd}+(?:[.,:/\-]\p{Nd}+)*', '0', 'g'), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*') AS w FROM documents WHERE text IS NOT NULL),"
+        " p AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM t),"
+        " g AS (SELECT doc_id, i, CASE WHEN i + 5 <= len(w) THEN array_to_string(w[i:i+5], ' ') END AS run FROM p),"
+        " f AS (SELECT doc_id, i, run IS NOT NULL AND i > min(i) OVER (PARTITION BY doc_id, run) AS again FROM g),"
+        " c AS (SELECT doc_id, max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS 5 PRECEDING) AS twice FROM f)"
+        " SELECT doc_id FROM c GROUP BY doc_id HAVING avg(twice) >= 0.3"
+    ),
+}
