@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from reviewloom import rulesdata as D
-from reviewloom.common import is_empty
+from reviewloom.common import cut, is_empty
 from reviewloom.functions import rules as R
 
 
@@ -64,10 +64,19 @@ def column_names(cells: DataFrame, header: DataFrame) -> DataFrame:
     return cols.withColumn("k", k).select("source_file", "col_idx", F.when(F.col("k") > 0, F.concat("name", F.lit("_"), F.col("k").cast("string"))).otherwise(F.col("name")).alias("source_column"))
 
 
-def read(cells: DataFrame) -> DataFrame:
-    """source_file, row_idx, col_idx, source_column, cell_value, vtype of each file's data cells."""
+def layout(cells: DataFrame) -> DataFrame:
+    """Per file and column: sheet_idx, header_row, col_idx, source_column.
+
+    A few rows per file; written once, so that the cells themselves meet it in a
+    single join however often the result is used.
+    """
     s = select_sheet(cells).select("source_file", "sheet_idx")
     c = cells.join(s, ["source_file", "sheet_idx"])
     h = header_row(clean(c))
-    names = column_names(c, h)
-    return clean(c).join(h, "source_file").where(F.col("row_idx") > F.col("header_row")).join(names, ["source_file", "col_idx"]).select("source_file", "row_idx", "col_idx", "source_column", "cell_value", "vtype")
+    return cut(column_names(c, h).join(h, "source_file").join(s, "source_file"))
+
+
+def read(cells: DataFrame) -> DataFrame:
+    """source_file, row_idx, col_idx, source_column, cell_value, vtype of each file's data cells."""
+    x = clean(cells).join(layout(cells), ["source_file", "sheet_idx", "col_idx"]).where(F.col("row_idx") > F.col("header_row"))
+    return x.select("source_file", "row_idx", "col_idx", "source_column", "cell_value", "vtype")

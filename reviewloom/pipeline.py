@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from reviewloom import rulesdata as D
+from reviewloom.common import cut
 from reviewloom.functions import rules as R
 from reviewloom.operators import analytics as A
 from reviewloom.operators import ingest as I
@@ -69,13 +70,14 @@ def normalize(read: DataFrame, mapping: DataFrame, wide_rules: bool = True, roun
     round column before the position.
     """
     cols = read.select("source_file", "source_column", "col_idx").distinct()
-    m = mapping.select("source_file", "source_column", "target_column", "result_order").join(cols, ["source_file", "source_column"])
+    # Mappings are a few rows per file; they are written once and used several times.
+    m = cut(mapping.select("source_file", "source_column", "target_column", "result_order").join(cols, ["source_file", "source_column"]))
     layout = S.structure(m).select("source_file", "data_structure")
     places = S.round_columns(m).select("source_file", "source_column", "target_column", F.col("round").alias("place"))
-    m = m.join(layout, "source_file").join(places, ["source_file", "source_column", "target_column"], "left")
+    mapped = m.join(layout, "source_file").join(places, ["source_file", "source_column", "target_column"], "left")
     wide, repeated = F.col("data_structure") == "wide", F.col("target_column").isin(*REPEATED)
-    m = m.withColumn("k", F.when(wide & repeated, F.col("place")).otherwise(1)).drop("col_idx", "place")
-    c = read.join(m, ["source_file", "source_column"])
+    mapped = cut(mapped.withColumn("k", F.when(wide & repeated, F.col("place")).otherwise(1)).drop("col_idx", "place"))
+    c = read.join(mapped, ["source_file", "source_column"])
     code = F.col("target_column").isin("agency", "status", "comment_type", "author")
     value = F.when(F.col("target_column") == "comment_id", R.numeric_id(F.col("cell_value"), F.col("vtype"))).when(~(code & (F.col("vtype") != "str")), F.col("cell_value")).otherwise("")
     # Several columns of one target and round: of texts the longest, leftmost; else the last mapped.
@@ -90,7 +92,7 @@ def normalize(read: DataFrame, mapping: DataFrame, wide_rules: bool = True, roun
     p = p.withColumns({t: F.coalesce(v, base(v)) for t, v in own.items()} | {t: base(F.col(t)) for t in D.TARGETS if t not in REPEATED})
     full = lambda t: F.coalesce(R.strip(F.col(t)) != "", F.lit(False))
     p = p.where((F.col("data_structure") == "long") | full("comment_text") | full("response_text"))
-    has = mapping.groupBy("source_file").agg(*[F.max((F.col("target_column") == t).cast("int")).alias(f"has_{t}") for t in ("comment_id", "agency")])
+    has = m.groupBy("source_file").agg(*[F.max((F.col("target_column") == t).cast("int")).alias(f"has_{t}") for t in ("comment_id", "agency")])
     numbers = S.auto_id(read.select("source_file", "row_idx").distinct(), "source_file", "row_idx")
     p = p.join(has, "source_file").join(numbers, ["source_file", "row_idx"], "left")
     p = p.withColumn("comment_id", F.when(F.col("has_comment_id") == 1, F.col("comment_id")).otherwise(F.col("auto_id").cast("string")))
@@ -121,12 +123,13 @@ def match(pairs: DataFrame, embedder=None, judge=None, describer=None, k: int =
     The models default to the offline stand-ins.
     """
     embedder, judge, describer = embedder or models.hash_embedder, judge or models.keyword_judge, describer or models.name_describer
-    d = models.describe(pairs.withColumn("pair_id", F.monotonically_increasing_id()), describer)
+    # Models are asked once; what they say is written before it is used again.
+    d = cut(models.describe(pairs.withColumn("pair_id", F.monotonically_increasing_id()), describer))
     text = lambda i: models.embed(models.embed_text(F.col("source_column"), F.col(f"source_description_{i}")), embedder).alias(f"v{i}")
     src = M.first_by(d, ["source_column"], "source_file", "sample_1").select("source_column", text(1), text(2), text(3))
     tgt = d.select("target_column", "target_description").distinct().select("target_column", models.embed(models.embed_text(F.col("target_column"), F.col("target_description")), embedder).alias("v"))
-    kept = M.expand(M.prefilter(src, tgt, k, threshold), d)
-    return M.propagate(pairs, models.judge(kept, judge))
+    kept = cut(M.expand(M.prefilter(src, tgt, k, threshold), d))
+    return M.propagate(pairs, cut(models.judge(kept, judge)))
 
 
 def preprocess(spark: SparkSession, folder: str, out: str) -> DataFrame:
