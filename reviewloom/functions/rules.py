@@ -51,7 +51,8 @@ def _agency_once(v: Column) -> Column:
     low = F.lower(v)
     known = F.create_map(*[F.lit(x) for kv in R.AGENCY_NAMES.items() for x in kv])
     full = F.coalesce(*[F.when(low.contains(n.lower()), F.lit(a)) for n, a in R.AGENCY_NAMES.items()])
-    word = F.coalesce(*[F.when(has_word(v, a), F.lit(a)) for a in _abbreviations()])
+    # One look for any code spares most values the search for each.
+    word = F.when(has_word(v, f"({'|'.join(_abbreviations())})"), F.coalesce(*[F.when(has_word(v, a), F.lit(a)) for a in _abbreviations()]))
     words = F.filter(F.split(v, r"\s+"), lambda w: (F.length(w) > 2) & ~F.lower(w).isin(*R.ACRONYM_SKIP))
     acronym = F.array_join(F.transform(F.slice(words, 1, 4), lambda w: F.upper(F.substring(w, 1, 1))), "")
     cut = F.upper(F.substring(v, 1, 4))
@@ -74,7 +75,8 @@ def agency_code(c: Column) -> Column:
 
 def agency_from_author(c: Column) -> Column:
     """C4: a known abbreviation standing as a word, longest first, then by name."""
-    return F.coalesce(*[F.when(has_word(c, a), F.lit(a)) for a in _abbreviations()], F.lit(""))
+    any_code = has_word(c, f"({'|'.join(_abbreviations())})")
+    return F.coalesce(F.when(any_code, F.coalesce(*[F.when(has_word(c, a), F.lit(a)) for a in _abbreviations()])), F.lit(""))
 
 
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
@@ -255,3 +257,9 @@ def project_name(path: Column) -> Column:
 def fallback_target(header: Column) -> Column:
     """The target of a well-known header, else null."""
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in R.FALLBACK_HEADERS.items() for x in kv]), header)
+
+
+def clean_response(c: Column, echo: str = "") -> Column:
+    """A model's text without white space around it and without an echoed instruction."""
+    v = strip(c)
+    return strip(F.replace(v, F.lit(echo), F.lit(""))) if echo else v
