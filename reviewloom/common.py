@@ -61,7 +61,10 @@ def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as there are cores.
 
     A scan of large data has them already and is left alone; only a small input
-    that came as one piece is dealt out before a costly per-row stage.
+    that came as one piece is dealt out before a costly per-row stage. A plan
+    that shuffles is left alone too: its partitions are known only when it runs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
