@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.common import table
 from reviewloom.llm import mixing, packing, repetition as R
-from reviewloom.llm.tokens import token_count
+from reviewloom.llm.tokens import DEFAULT_VOCABULARY, count_tokens, encoder, token_count
 
 D = "doc_id bigint, text string, project string, source string, n int, h string"
 
@@ -134,6 +134,17 @@ def test_tokens(spark, text, n):
     assert spark.createDataFrame([(text,)], "t string").select(token_count(F.col("t"))).first()[0] == n
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(" \n\ta.1\u00a0", max_size=60), st.integers(2, 6))
+def test_long_runs_change_nothing(text, long_run):
+    assert count_tokens(text, long_run=long_run) == len(encoder(DEFAULT_VOCABULARY).encode_ordinary(text))
+
+
+def test_endless_blanks():
+    n = 1_200_000
+    assert count_tokens("a" + " " * n + "b") == count_tokens("a" + " " * (n // 2) + "b") + n // 2 and count_tokens("\n" * n) > 0
+
+
 def test_queries_run(spark, sf):
     from reviewloom.llm import queries
 
