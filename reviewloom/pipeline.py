@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from reviewloom import rulesdata as D
-from reviewloom.common import cut
+from reviewloom.common import cut, ship
 from reviewloom.functions import rules as R
 from reviewloom.operators import analytics as A
 from reviewloom.operators import ingest as I
@@ -157,6 +157,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("matches", nargs="?")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("reviewloom").getOrCreate()
+    ship(spark)
     os.makedirs(a.output, exist_ok=True)
     if a.mode in ("preprocess", "full"):
         preprocess(spark, a.input, a.output)
