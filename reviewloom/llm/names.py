@@ -210,6 +210,8 @@ def person_cost(v: list[tuple[str, str, float]], c: list[tuple[str, str, float]]
             g = _given(ga, gb)
             n = edits(fa, fb, 2)
             ways = []
+            if n == 2 and fa[:1] != fb[:1]:
+                n = 3  # another beginning and a second slip: another family
             if g is not None and n <= (0 if min(len(fa), len(fb)) < 4 else 1 if min(len(fa), len(fb)) < 7 else 2):
                 ways.append(g + n)
             # Initial and family name run together.

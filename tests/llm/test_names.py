@@ -71,6 +71,14 @@ def test_variants_find_what_all_pairs_find(spark):
     assert len(got) == 4 and all(sum(b in c[2] for b in bodies) == 1 for c in got)
 
 
+@pytest.mark.parametrize("a,b,same", [
+    ("Jacqueline Teskisko", "Jacqueline Naskisko", False), ("Jacqueline Teskisko", "Jackie Tekskso", True), ("Kwame Rhudoquist", "Benedict Rhudoquist", False),
+    ("I.P. Quelulane", "Quelulane, Ingrid", True), ("Dr. Mei-Lin Yarlivane", "M. Yarrlivane", True), ("KThirlandry", "Kwame Thirlandry", True), ("Richard Vantemben, GLU - Reviews", "Dick Vantemben (GLU)", True),
+])
+def test_persons(a, b, same):
+    assert (N.person_cost(N.person(a), N.person(b)) is not None) == same == (N.person_cost(N.person(b), N.person(a)) is not None)
+
+
 def test_review_values_and_empty(spark):
     s = "agency string, author string, project string, n string"
     df = spark.createDataFrame([("A", "B", None, "z"), ("A", "-", "p", "z"), (None, " ", "p", None), ("nan", "B", "p", None)], s)
