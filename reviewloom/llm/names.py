@@ -197,6 +197,8 @@ def _given(a: str, b: str) -> float | None:
     if len(min(a, b, key=len)) >= 3 and (a.startswith(b) or b.startswith(a)):
         return 0.6
     n = edits(a.replace("-", ""), b.replace("-", ""), 2)
+    if n == 2 and a[0] != b[0]:
+        return None
     if n <= (1 if min(len(a), len(b)) < 6 else 2):
         return float(n)
     return None

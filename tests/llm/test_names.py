@@ -72,7 +72,7 @@ def test_variants_find_what_all_pairs_find(spark):
 
 
 @pytest.mark.parametrize("a,b,same", [
-    ("Jacqueline Teskisko", "Jacqueline Naskisko", False), ("Jacqueline Teskisko", "Jackie Tekskso", True), ("Kwame Rhudoquist", "Benedict Rhudoquist", False),
+    ("Jacqueline Teskisko", "Jacqueline Naskisko", False), ("Jacqueline Teskisko", "Jackie Tesksko", True), ("Kwame Rhudoquist", "Benedict Rhudoquist", False),
     ("I.P. Quelulane", "Quelulane, Ingrid", True), ("Dr. Mei-Lin Yarlivane", "M. Yarrlivane", True), ("KThirlandry", "Kwame Thirlandry", True), ("Richard Vantemben, GLU - Reviews", "Dick Vantemben (GLU)", True),
 ])
 def test_persons(a, b, same):
