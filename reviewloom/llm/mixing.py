@@ -15,7 +15,8 @@ sources give all that they may and the report shows the shares reached.
 Cumulative sums run per source and hash bucket of bounded size, the buckets'
 own totals are added up in a small table. Documents without a source, of a
 source without a target, or without tokens are not used. Equal documents count
-each for itself. Without usable documents the result is empty.
+each for itself. Without usable documents the result is empty. Other columns
+of both tables are not read.
 """
 
 from __future__ import annotations

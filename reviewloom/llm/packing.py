@@ -13,7 +13,7 @@ first and its rest is packed as an item; nothing else is split.
 
 Null and empty texts have 0 tokens and join the fullest open container. An
 unknown or non-positive capacity gives no rows. Repeated documents are packed
-each for itself; equal ids stay in one group.
+each for itself; equal ids stay in one group, null ids too. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ suspected by a rule and the exact share confirms it.
 
 Null and empty texts have no words and a share of 0; texts shorter than a run
 repeat nothing. Whole texts are read. Equal documents are judged each for
-itself. A null project or source forms a host of its own.
+itself. A null project or source forms a host of its own. Other columns are
+not read.
 """
 
 from __future__ import annotations

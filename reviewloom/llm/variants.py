@@ -3,7 +3,7 @@
 Different values are counted, brought to a plain form and ranked by frequency.
 Every form is a possible canonical form for rarer ones; candidates share a key:
 a piece of the run-together name (a name with at most two slips keeps one of
-three pieces, up to a shift), its initials or acronym, or for persons a word
+three pieces, up to a shift; a short one with one slip, one of two), its initials or acronym, or for persons a word
 with one letter left out. The posterior of a candidate is the logarithm of its
 frequency less the channel's price of the variant; each form attaches to its
 best candidate, and following those links to the end gives its canonical form.
@@ -17,7 +17,7 @@ of an entity, not in its rows.
 
 Empty cells (null, blank, placeholder) are no names; a value that reads as no
 word stays alone; ties go to the form that sorts first. An empty table gives an
-empty result.
+empty result. Other columns of the table are not read.
 """
 
 from __future__ import annotations
