@@ -11,7 +11,8 @@ casts of the unified table.
 Nulls: a file without header cells has no columns; empty cells give no type. A
 repeated header in one file counts once, at its first position. A column with
 no filled data cell has no type and so never changes it. A file whose
-`data_structure` is unknown on either side reports no structure change.
+`data_structure` is unknown on either side reports no structure change. Empty
+tables give no changes. Other columns of the tables are not read.
 """
 
 from __future__ import annotations
