@@ -8,9 +8,15 @@ form a line of tokens that is repeated as often as its blocks need; the line is
 cut into blocks and every document follows its block's slot. Documents stay
 whole, so a source misses its share by half a document and a block at most.
 
-The size of the mixture is the largest at which no source needs a document more
-than `max_repeats` times, unless `total_tokens` asks for more; then short
-sources give all that they may and the report shows the shares reached.
+By default every document is used, at least once and at most `max_repeats`
+times, and within these bounds each source comes as near to its share as it can
+(`balanced`); where bounds keep a source from its target, the report shows the
+gap, and the slots are dealt by the tokens that each source gives, so that it is
+less than one block from its reached share. `exact_shares` instead takes the
+largest size at which no source needs a document more often than that, which
+leaves the rest of the larger sources unused; `total_tokens` asks for a size.
+With either, short sources give all that they may. The report has the tokens
+left unused.
 
 Cumulative sums run per source and hash bucket of bounded size, the buckets'
 own totals are added up in a small table. Documents without a source, of a
@@ -60,33 +66,66 @@ def pfair(weights: dict[str, float], slots: int) -> list[tuple[str, int, int, in
     return out
 
 
-def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = DEFAULT_VOCABULARY, slots: int = SLOTS, bucket: int = BUCKET) -> DataFrame:
+def balanced(sizes: dict[str, int], goal: dict[str, tuple[float, int]]) -> dict[str, int]:
+    """Tokens to take of each source: its share of their sum, but all its documents once at least and `max_repeats` times at most."""
+    exact = {s: Fraction(goal[s][0]).limit_denominator(1_000_000_000_000) for s in sizes}
+    whole = sum(exact.values(), Fraction(0))
+    take = lambda total: {s: min(max(floor(exact[s] / whole * total), n), goal[s][1] * n) for s, n in sizes.items()}
+    # What the sources give for a total grows no faster than the total, so the largest total that they reach is found by halving.
+    low, high = 0, sum(goal[s][1] * n for s, n in sizes.items())
+    while low < high:
+        mid = (low + high + 1) // 2
+        # Rounding down may miss a token of each source.
+        low, high = (mid, high) if sum(take(mid).values()) + len(sizes) > mid else (low, mid - 1)
+    return take(low)
+
+
+def usable(docs: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, source, n_tokens, h, bucket) of every document that may be used, written once."""
+    goal = _goal(targets)
+    buckets = max(1, -(-docs.count() // bucket))
+    h = F.xxhash64("doc_id", F.lit(7))
+    sized = spread(docs.where(F.col("source").isin(*goal)).select("doc_id", "source", "text")).select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("n_tokens"), h.alias("h"))
+    return cut(sized.where("n_tokens > 0").withColumn("bucket", F.pmod("h", F.lit(buckets))))
+
+
+def _goal(targets: DataFrame) -> dict[str, tuple[float, int]]:
+    """Source -> (target share, most uses of a document)."""
+    return {r.source: (r.target_share, r.max_repeats) for r in targets.where("target_share > 0 and max_repeats > 0 and source is not null").collect()}  # a fixed table
+
+
+def mix(
+    docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = DEFAULT_VOCABULARY, slots: int = SLOTS, bucket: int = BUCKET, exact_shares: bool = False, sized: DataFrame | None = None,
+) -> DataFrame:
     """(slot, source, block, use_no, doc_id, n_tokens, token_offset), an ordered mixture.
 
-    Order by slot, then token_offset.
+    Order by slot, then token_offset. `sized` is usable() of the same tables, where it is at hand.
     """
     spark = docs.sparkSession
     empty = "slot int, source string, block int, use_no int, doc_id bigint, n_tokens int, token_offset bigint, release int, deadline int"
-    goal = {r.source: (r.target_share, r.max_repeats) for r in targets.where("target_share > 0 and max_repeats > 0 and source is not null").collect()}  # a fixed table
+    goal = _goal(targets)
     if not goal:
         return spark.createDataFrame([], empty)
-    buckets = max(1, -(-docs.count() // bucket))
-    h = F.xxhash64("doc_id", F.lit(7))
-    sized = spread(docs.where(F.col("source").isin(*goal)).select("doc_id", "source", "text")).select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("n_tokens"), h.alias("h"))
-    sized = cut(sized.where("n_tokens > 0").withColumn("bucket", F.pmod("h", F.lit(buckets))))
+    sized = usable(docs, targets, vocabulary, bucket) if sized is None else sized
     sums = sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"))
     sizes = {r.source: int(r.n) for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # a row per target
     if not sizes:
         return spark.createDataFrame([], empty)
     present = {s: goal[s] for s in sizes}
-    whole = sum(w for w, _ in present.values())
-    feasible = min(int(present[s][1] * sizes[s] * whole / present[s][0]) for s in present)
-    total = total_tokens or feasible
-    block = max(1, total // slots)
-    plan = pfair({s: w for s, (w, _) in present.items()}, slots)
-    # A short source stops after max_repeats passes; later slots of it stay empty.
-    need = {s: sum(1 for x in plan if x[0] == s) * block for s in present}
-    take = {s: min(need[s], present[s][1] * sizes[s]) for s in present}
+    if total_tokens or exact_shares:
+        whole = sum(w for w, _ in present.values())
+        feasible = min(int(present[s][1] * sizes[s] * whole / present[s][0]) for s in present)
+        block = max(1, (total_tokens or feasible) // slots)
+        plan = pfair({s: w for s, (w, _) in present.items()}, slots)
+        # A short source stops after max_repeats passes; later slots of it stay empty.
+        need = {s: sum(1 for x in plan if x[0] == s) * block for s in present}
+        take = {s: min(need[s], present[s][1] * sizes[s]) for s in present}
+    else:
+        take = balanced(sizes, present)
+        block = -(-sum(take.values()) // slots)
+        # Every source has a slot for its last, perhaps short, block: at most one slot a source beyond `slots`.
+        blocks = {s: -(-n // block) for s, n in take.items()}
+        plan = pfair(blocks, sum(blocks.values()))
 
     lines = spark.createDataFrame([(s, sizes[s], take[s]) for s in sizes], "source string, line bigint, take bigint")
     sched = spark.createDataFrame([(i, *x) for i, x in enumerate(plan)], "slot int, source string, block int, release int, deadline int")
@@ -103,8 +142,17 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, vo
     return x.join(F.broadcast(sched), ["source", "block"]).select(*[c.split()[0] for c in empty.split(", ")])  # SLOTS rows
 
 
-def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Target and reached share of each source, the uses of its documents and their most."""
-    per = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("uses"), (F.max("use_no") + 1).alias("most_uses"))
-    x = targets.select("source", "target_share", "max_repeats").join(per, "source", "left").fillna(0, ["tokens", "uses", "most_uses"])
-    return x.withColumn("actual_share", F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(W.partitionBy())), F.lit(0.0)))
+def shares(mixed: DataFrame, targets: DataFrame, sized: DataFrame | None = None) -> DataFrame:
+    """Target and reached share of each source, the uses of its documents and their most.
+
+    With usable() of the tables also the source's tokens and those in no row of the mixture.
+    """
+    once = F.coalesce(F.sum(F.when(F.col("use_no") == 0, F.col("n_tokens"))), F.lit(0))
+    per = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("uses"), (F.max("use_no") + 1).alias("most_uses"), once.alias("once"))
+    x = targets.select("source", "target_share", "max_repeats").join(per, "source", "left").fillna(0, ["tokens", "uses", "most_uses", "once"])
+    x = x.withColumn("actual_share", F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(W.partitionBy())), F.lit(0.0)))
+    x = x.withColumn("share_gap", F.col("actual_share") - F.col("target_share"))
+    if sized is not None:
+        x = x.join(sized.groupBy("source").agg(F.sum("n_tokens").alias("usable_tokens")), "source", "left").fillna(0, ["usable_tokens"])
+        x = x.withColumn("unused_tokens", F.col("usable_tokens") - F.col("once"))
+    return x.drop("once")

@@ -57,7 +57,9 @@ def p7_mixture(spark, d):
 
 
 def p7_shares(spark, d):
-    return mixing.shares(p7_mixture(spark, d), table(spark, d, "mixture_targets"))
+    docs, targets = table(spark, d, "documents").select("doc_id", "source", "text"), table(spark, d, "mixture_targets")
+    sized = mixing.usable(docs, targets)
+    return mixing.shares(mixing.mix(docs, targets, sized=sized), targets, sized)
 
 
 def _docs(spark, d):

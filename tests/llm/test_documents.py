@@ -129,6 +129,35 @@ def test_mix_odd_rows(spark):
     assert mixing.shares(mixing.mix(docs.limit(0), targets), targets).count() == 3
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcd"), st.tuples(st.integers(1, 10**6), st.integers(1, 99), st.integers(1, 4)), min_size=1))
+def test_balanced(x):
+    sizes, goal = {s: v[0] for s, v in x.items()}, {s: (v[1] / 100, v[2]) for s, v in x.items()}
+    take = mixing.balanced(sizes, goal)
+    total, whole = sum(take.values()), sum(w for w, _ in goal.values())
+    for s, n in take.items():
+        assert sizes[s] <= n <= sizes[s] * goal[s][1]
+        # Off its share only where a bound holds it.
+        gap = n - goal[s][0] / whole * total
+        assert abs(gap) <= 2 * len(x) or (n == sizes[s] if gap > 0 else n == sizes[s] * goal[s][1])
+
+
+def test_mix_uses_every_document(spark, sf):
+    docs, targets = table(spark, sf, "documents"), table(spark, sf, "mixture_targets")
+    named = [r.source for r in targets.collect()]
+    few = spark.createDataFrame([(10**9, "a b c", None, "elder_interview", 5, "z")], D).select("doc_id", "source", "text")
+    skewed = docs.where("coalesce(source, '') <> 'elder_interview'").select("doc_id", "source", "text").unionByName(few)
+    for d in (docs, skewed):
+        sized = mixing.usable(d, targets)
+        m = mixing.mix(d, targets, sized=sized)
+        want = {r.doc_id for r in d.where(F.col("source").isin(*named) & (F.col("text") != "")).collect()}
+        assert {r.doc_id for r in m.collect()} == want
+        s = mixing.shares(m, targets, sized).toPandas()
+        assert (s.unused_tokens == 0).all() and (s.usable_tokens > 0).all() and (s.most_uses <= s.max_repeats).all()
+    exact = mixing.shares(mixing.mix(skewed, targets, exact_shares=True), targets, mixing.usable(skewed, targets)).toPandas()
+    assert exact.unused_tokens.sum() > 0
+
+
 @pytest.mark.parametrize("text,n", [(None, 0), ("", 0), ("hello world", 2)])
 def test_tokens(spark, text, n):
     assert spark.createDataFrame([(text,)], "t string").select(token_count(F.col("t"))).first()[0] == n
