@@ -121,12 +121,11 @@ class Lexicon:
         return ""
 
 
-def lexicon(rows: DataFrame, column: str = "author", most: int = 200_000) -> Lexicon:
+def lexicon(rows: DataFrame, column: str = "author") -> Lexicon:
     """Names by role from all filled authors.
 
-    Different authors are parsed once each. What reaches the driver is a
-    vocabulary; its size is counted first, and names of few bearers are left to
-    the heads and tails where it would exceed `most`.
+    Different authors are parsed once each. What reaches the driver is the whole
+    vocabulary, a row per role and word, one partition at a time.
     """
 
     @F.pandas_udf("array<struct<role:string,word:string>>")
@@ -139,12 +138,9 @@ def lexicon(rows: DataFrame, column: str = "author", most: int = 200_000) -> Lex
 
     a = rows.select(F.trim(F.col(column)).alias("a")).where(~is_empty(F.col("a"))).distinct()
     words = a.select(F.explode(roles("a")).alias("r")).groupBy("r.role", "r.word").agg(F.count("*").alias("n"))
-    found = words.limit(most + 1).collect()
-    least = 1
-    while len(found) > most:
-        least *= 2
-        found = words.where(F.col("n") >= least).limit(most + 1).collect()
-    by = {k: {r.word: r.n for r in found if r.role == k} for k in ("given", "family")}
+    by: dict[str, dict[str, int]] = {"given": {}, "family": {}}
+    for r in words.toLocalIterator(prefetchPartitions=True):
+        by[r.role][r.word] = r.n
     # A word that is mostly a family name is one, however it was typed once.
     given = {w: n for w, n in by["given"].items() if n >= by["family"].get(w, 0)}
     return Lexicon.of(given, {w: n for w, n in by["family"].items() if w not in given})

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from reviewloom.common import table
 from reviewloom.llm import pii
@@ -63,6 +64,13 @@ def test_rows_nulls_repeats_and_clashing_names(spark, found):
     assert clean[0].comment_text == "call [PHONE] or [PHONE]" and clean[0].response_text is None and clean[1].response_text == "" and clean[0].ordinal == "a"
 
 
+def test_lexicon_keeps_every_name(spark):
+    """More different names than 200,000, each with one bearer."""
+    name = F.concat(F.lit("Q"), F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "bcdfghjklm"))
+    rows = spark.range(0, 200_002, numPartitions=8).select(F.concat(F.lit("Maria "), name).alias("author"))
+    assert len(pii.lexicon(rows).family) == 200_002
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], S)
     assert pii.mentions(df).count() == 0 and pii.redact(df).count() == 0
