@@ -6,8 +6,9 @@ text marks its words as repeated; the repeated share is their part of all
 words. Line and paragraph repetition are measured as well. Every measure has a
 limit; failures are added up by host (project and source), the failure rate is
 shrunk towards the corpus by an empirical beta prior, and the host's verdict
-joins back to its documents. A document is a case when it, or its host, is
-suspected by a rule and the exact share confirms it.
+joins back to its documents. `found` needs the exact share; as the share is one
+of the rules, it equals the test of each document by itself, and the host level
+shows in `judged` only.
 
 Null and empty texts have no words and a share of 0; texts shorter than a run
 repeat nothing. Whole texts are read. Equal documents are judged each for
