@@ -2,7 +2,9 @@
 
 Every file's header row and typed cells are its footer: exploded, they give one
 row per (producer, delivery, column, type). Columns are named by *field*
-through an alias table; what it does not know is paired by content. A lag over
+through an alias table; what it does not know is paired by content: columns
+whose cells begin alike or have words and whole shapes in common may pair, the
+most alike first, until no pair is left. A lag over
 the deliveries of a producer turns presence into islands, whose first and last
 deliveries are logged as starts and endings; a start and an ending of the same
 field in the same delivery is a rename. The alias table also generates the
@@ -74,11 +76,12 @@ def _sheet_cells(cells: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def catalogue(manifest: DataFrame, cells: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(project, source_file, seq, header, field, vtype, shape): the exploded footers.
+    """(project, source_file, seq, header, field, vtype, shapes, whole): the exploded footers.
 
     seq is the file's place in the producer's deliveries. Headers come from the
     header row; files that have none there take them from the column pairs.
-    vtype is the type of most filled data cells (ties: by name).
+    vtype is the type of most filled data cells (ties: by name); shapes are the
+    beginnings of the cells' shapes, whole the hashes of their words and whole shapes.
     """
     files = manifest.select("project", "source_file", F.row_number().over(W.partitionBy("project").orderBy("delivery_no", "source_file")).alias("seq"))
     sheet = _sheet_cells(cells, manifest)
@@ -89,8 +92,10 @@ def catalogue(manifest: DataFrame, cells: DataFrame, pairs: DataFrame) -> DataFr
     first = heads.groupBy("source_file", "header").agg(F.min("col_idx").alias("col_idx")).select("source_file", "col_idx", "header").unionByName(extra)
     data = sheet.where((F.col("row_idx") > F.col("header_row")) & ~is_empty(F.col("cell_value")))
     shape = F.regexp_replace(F.regexp_replace("cell_value", r"\p{L}+", "a"), r"\p{Nd}+", "9")
-    kinds = data.groupBy("source_file", "col_idx", "vtype").agg(F.count("*").alias("n"), F.collect_set(F.substring(shape, 1, 12)).alias("shapes"))
-    kinds = kinds.groupBy("source_file", "col_idx").agg(F.min_by("vtype", F.struct(-F.col("n"), "vtype")).alias("vtype"), F.flatten(F.collect_list("shapes")).alias("shapes"))
+    words = F.transform(F.regexp_extract_all(F.lower("cell_value"), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)), lambda w: F.xxhash64(w))
+    whole = F.array_append(words, F.xxhash64(shape, F.lit("shape")))
+    kinds = data.groupBy("source_file", "col_idx", "vtype").agg(F.count("*").alias("n"), F.collect_set(F.substring(shape, 1, 12)).alias("shapes"), F.array_distinct(F.flatten(F.collect_list(whole))).alias("whole"))
+    kinds = kinds.groupBy("source_file", "col_idx").agg(F.min_by("vtype", F.struct(-F.col("n"), "vtype")).alias("vtype"), F.flatten(F.collect_list("shapes")).alias("shapes"), F.flatten(F.collect_list("whole")).alias("whole"))
     return files.join(first, "source_file").join(kinds, ["source_file", "col_idx"], "left").withColumn("field", field_of(F.col("header")))
 
 
@@ -107,7 +112,7 @@ def events(cat: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, Data
     """Columns that go on, start or end between two deliveries, logged at the later one."""
     w = W.partitionBy("project", "header").orderBy("seq")
     x = cat.select("*", F.lag("seq").over(w).alias("before"), F.lag("vtype").over(w).alias("old_vtype"), F.lead("seq").over(w).alias("after"))
-    cols = ["project", "seq", "header", "field", "vtype", "shapes"]
+    cols = ["project", "seq", "header", "field", "vtype", "shapes", "whole"]
     stays = x.where(F.col("before") == F.col("seq") - 1).select("project", "seq", "header", "vtype", "old_vtype")
     starts = x.where((F.col("seq") > 1) & (F.col("before").isNull() | (F.col("before") < F.col("seq") - 1))).select(*cols, F.lit("start").alias("event"))
     last = files.groupBy("project").agg(F.max("seq").alias("last"))
@@ -125,21 +130,22 @@ def changes(manifest: DataFrame, cells: DataFrame, pairs: DataFrame, rows: DataF
     files = manifest.select("project", "source_file", F.row_number().over(W.partitionBy("project").orderBy("delivery_no", "source_file")).alias("seq"))
     stays, starts, ends = events(cat, files)
 
-    s = starts.select("project", "seq", F.col("header").alias("new"), F.col("field").alias("new_field"), F.col("vtype").alias("new_vtype"), F.col("shapes").alias("new_shapes"))
-    e = ends.select("project", "seq", F.col("header").alias("old"), F.col("field").alias("old_field"), F.col("vtype").alias("old_vtype"), F.col("shapes").alias("old_shapes"))
-    # The field decides; a header unknown to the table pairs by the shapes of its cells.
+    s = starts.select("project", "seq", F.col("header").alias("new"), F.col("field").alias("new_field"), F.col("vtype").alias("new_vtype"), F.col("shapes").alias("new_shapes"), F.col("whole").alias("new_whole"))
+    e = ends.select("project", "seq", F.col("header").alias("old"), F.col("field").alias("old_field"), F.col("vtype").alias("old_vtype"), F.col("shapes").alias("old_shapes"), F.col("whole").alias("old_whole"))
+    # The field decides; a header unknown to the table pairs by its cells.
     both = s.join(e, ["project", "seq"])
     same_key = header_key(F.col("new")) == header_key(F.col("old"))
-    inter, union = F.size(F.array_intersect("new_shapes", "old_shapes")), F.size(F.array_union("new_shapes", "old_shapes"))
-    alike = F.coalesce(inter / F.nullif(union, F.lit(0)), F.lit(0.0))
+    jaccard = lambda a, b: F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))
+    begins, whole = jaccard("new_shapes", "old_shapes"), jaccard("new_whole", "old_whole")
+    alike = (begins + whole) / 2
     unknown = F.col("new_field").isNull() | F.col("old_field").isNull()
-    score = F.when(same_key, 3.0).when(F.col("new_field") == F.col("old_field"), 2.0 + alike).when(unknown & (F.col("new_vtype") == F.col("old_vtype")) & (alike >= 0.5), alike)
+    score = F.when(same_key, 4.0 + alike).when(F.col("new_field") == F.col("old_field"), 2.0 + alike).when(unknown & (F.col("new_vtype") == F.col("old_vtype")) & (F.greatest(begins, whole) >= 0.5), alike)
     both = both.withColumn("score", score).where(F.col("score").isNotNull())
-    for side, other in (("new", "old"), ("old", "new")):
-        w = W.partitionBy("project", "seq", side).orderBy(F.desc("score"), other)
-        both = both.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
-
-    pair = both.select("project", "seq", "new", "old", "new_vtype", "old_vtype")
+    # The best pair of a delivery, then the best of the headers still free, until none is left.
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("rank"), "new", "old", "new_vtype", "old_vtype")))
+    free = lambda got, p: ~F.exists(got, lambda q: (q["new"] == p["new"]) | (q["old"] == p["old"]))
+    best = F.aggregate("ranked", F.slice("ranked", 1, 1), lambda got, p: F.when(free(got, p), F.array_append(got, p)).otherwise(got))
+    pair = both.groupBy("project", "seq").agg(ranked.alias("ranked")).select("project", "seq", F.inline(best)).drop("rank")
     ren = pair.select("project", "seq", F.lit("renamed").alias("change_kind"), F.col("old").alias("old_column"), F.col("new").alias("new_column"))
     typed = pair.select("project", "seq", "old", "new", "old_vtype", "new_vtype").unionByName(stays.select("project", "seq", F.col("header").alias("old"), F.col("header").alias("new"), "old_vtype", F.col("vtype").alias("new_vtype")))
     typ = typed.where(F.col("old_vtype") != F.col("new_vtype")).select("project", "seq", F.lit("type_changed").alias("change_kind"), F.col("old").alias("old_column"), F.col("new").alias("new_column"))

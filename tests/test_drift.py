@@ -36,6 +36,22 @@ def test_changes(spark):
     }
 
 
+def test_every_free_header_finds_its_partner(spark):
+    s = lambda *v: [(x, "str") for x in v]
+    # Both new headers are most like "Odd A"; the second one's own partner is free.
+    books = [("p1", ["Odd A", "Odd B"], [s("a", "a"), s("1", "a-1")]), ("p2", ["Few", "Same"], [s("a", "a"), s("a", "1")])]
+    got = {tuple(r)[1:] for r in D.changes(*tables(spark, books)).collect()}
+    assert got == {("renamed", "Odd A", "Same"), ("renamed", "Odd B", "Few")}
+
+
+def test_long_texts_are_told_apart(spark):
+    s = lambda *v: [(x, "str") for x in v]
+    one, two = "The creek below the camp rises each spring", "Our laboratory repeated all assays with fresh samples"
+    books = [("p1", ["Odd A", "Odd B"], [s(one, two)] * 2), ("p2", ["Strange A", "Strange B"], [s(two + " again", one + " now")] * 2)]
+    got = {tuple(r)[1:] for r in D.changes(*tables(spark, books)).collect()}
+    assert got == {("renamed", "Odd A", "Strange B"), ("renamed", "Odd B", "Strange A")}
+
+
 def test_empty(spark):
     t = tables(spark, [])
     assert D.changes(*t).count() == 0 and D.unify(*t[:3]).count() == 0 and D.lifespans(D.catalogue(*t[:3])).count() == 0
