@@ -3,8 +3,11 @@
 Different values are counted, brought to a plain form and ranked by frequency.
 Every form is a possible canonical form for rarer ones; candidates share a key:
 a piece of the run-together name (a name with at most two slips keeps one of
-three pieces, up to a shift; a short one with one slip, one of two), its initials or acronym, or for persons a word
-with one letter left out. The posterior of a candidate is the logarithm of its
+three pieces, up to a shift; a short one with one slip, one of two), its initials or acronym, the first letters of its
+words in any order, all or but one, or for persons a word with one letter left
+out, or two where the channel accepts two slips. Not met are bodies whose words
+are turned or cut short and slip in a first letter besides, if they have two
+words or slip so in two. The posterior of a candidate is the logarithm of its
 frequency less the channel's price of the variant; each form attaches to its
 best candidate, and following those links to the end gives its canonical form.
 Where a list of known bodies is given, its entries are canonical from the start
@@ -22,6 +25,8 @@ empty result. Other columns of the table are not read.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -30,6 +35,8 @@ from reviewloom.common import cut, is_empty
 from reviewloom.llm import names as N
 
 SLIP_PRICE = 3.0
+# Family names up to this length meet by letters left out, longer ones by pieces; lengths up to two below have both.
+LEFT_OUT = 18
 
 
 def _plain(kind: str, s: str) -> str:
@@ -38,11 +45,14 @@ def _plain(kind: str, s: str) -> str:
     return "|".join(f"{g}/{f}" for g, f, _ in N.person(s)) or s
 
 
-def _pieces(s: str, probe: bool) -> list[str]:
-    """Keys by which strings with at most two slips meet: equal pieces at near positions."""
+def _pieces(s: str, probe: bool, pieces: int = 0) -> list[str]:
+    """Keys by which strings with at most two slips meet: equal pieces at near positions.
+
+    Two swaps across the ends of pieces spoil up to four, so five `pieces` meet always.
+    """
     out = set()
     for n in range(len(s) - 2, len(s) + 3) if probe else (len(s),):
-        kk = 3 if n >= 9 else 2
+        kk = pieces or (3 if n >= 9 else 2)
         if n < 4:
             continue
         for i in range(kk):
@@ -64,6 +74,10 @@ def _keys(kind: str, plain: str, probe: bool, codes: str) -> list[str]:
         if len(b) > 1:
             # Words cut short or turned round.
             out.add("i:" + "|".join(sorted(x[:3] for x in b)))
+            first = sorted(x[0] for x in b)
+            out.add(f"b:{len(b)}:{''.join(first)}")
+            if len(b) > 2:
+                out.update(f"c:{len(b)}:{''.join(first[:i] + first[i + 1:])}" for i in range(len(b)))
         # Initials meet full names only, in either order of frequency.
         full, short = ("f:", "s:") if probe else ("s:", "f:")
         if len(w) > 1:
@@ -78,6 +92,11 @@ def _keys(kind: str, plain: str, probe: bool, codes: str) -> list[str]:
         for f in {family, given[:1] + family if given else family}:
             out.add(f)
             out.update(f[:i] + f[i + 1 :] for i in range(len(f)) if len(f) > 3)
+        # Family names of seven letters and more may have two slips, but begin alike then.
+        if 7 <= len(family) <= LEFT_OUT:
+            out.update(family[:i] + family[i + 1 : j] + family[j + 1 :] for i, j in combinations(range(1, len(family)), 2))
+        if len(family) > LEFT_OUT - 2:
+            out.update(_pieces(family, probe, 5))
     return sorted(out)
 
 

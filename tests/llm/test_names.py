@@ -54,6 +54,31 @@ def test_variants(spark):
     ])
 
 
+def _meet(kind, a, b):
+    return bool(set(V._keys(kind, V._plain(kind, a), True, "")) & set(V._keys(kind, V._plain(kind, b), False, "")))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text("abcde", min_size=7, max_size=24), st.lists(st.tuples(st.sampled_from("disw"), st.integers(0, 30), st.sampled_from("abcdex")), max_size=2))
+def test_persons_with_two_slips_meet(family, slips):
+    """Whatever pair of long family names the channel accepts has a key in common."""
+    x = family
+    for op, i, c in slips:
+        i %= len(x)
+        x = x[:i] + {"d": x[i + 1 :], "i": c + x[i:], "s": c + x[i + 1 :], "w": x[i : i + 2][::-1] + x[i + 2 :]}[op]
+    a, b = f"{family}, Ann", f"{x}, Ann"
+    if N.person_cost(N.person(a), N.person(b)) is not None:
+        assert _meet("person", a, b) and _meet("person", b, a)
+
+
+@pytest.mark.parametrize("a,b", [
+    ("Mnstry of Envrnmnt Northland", "Northland Ministry of Environment"),
+    ("Board Kater of Northland Valley", "Northland Valley Water Board"),
+])
+def test_bodies_the_channel_accepts_meet(a, b):
+    assert N.org_cost(N.org_words(a), N.org_words(b)) is not None and _meet("org", a, b) and _meet("org", b, a)
+
+
 def test_variants_find_what_all_pairs_find(spark):
     """Blocking loses no pair that the channel would accept (slips in names of one scope)."""
     r = random.Random(3)
