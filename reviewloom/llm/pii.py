@@ -56,6 +56,8 @@ OPENERS = frozenset(
     "photo please provide pump reconcile regards reply results samples section see send sheet show signed since so some state still submit table taken tel tell thanks that the their then there these they this those to under until "
     "veuillez water we what when where whether while why will with within without witness you your".split()
 )
+# Words, units and elements of two letters that stand beside names and are none.
+_BRIEF_WORDS = frozenset("am be do go me up us ok re vs pm et du de la le il un ce se si en au ag cu pb zn fe mn mo ni co cd cr hg kg km cm mm ml mg ha st rd dr mr ms".split())
 _LETTERED = frozenset("appendix section table figure zone phase item part annex schedule area plate sheet option class type grade".split())
 STREETS = r"(?:street|st|avenue|ave|road|rd|drive|dr|lane|ln|boulevard|blvd|crescent|cres|trail|way|court|ct|place|pl|highway|hwy|terrace|close|circle|row)"
 
@@ -91,6 +93,8 @@ class Lexicon:
     tails: frozenset[str] = frozenset()
     known: frozenset[str] = field(default_factory=frozenset)
     short: frozenset[str] = field(default_factory=frozenset)
+    # Listed family names of two or three letters; they count beside a title, an initial or a given name only.
+    brief: frozenset[str] = field(default_factory=frozenset)
 
     @classmethod
     def of(cls, given: dict[str, int], family: dict[str, int]) -> Lexicon:
@@ -105,7 +109,7 @@ class Lexicon:
             tails[f[-4:]] += 1
         ok = lambda d: frozenset(k for k, n in d.items() if n >= 2)
         # For the quick test, hyphenated names by their longest parts.
-        return cls(giv, fam, ok(heads), ok(tails), frozenset(max(w.split("-"), key=len) for w in (giv - short) | fam), short)
+        return cls(giv, fam, ok(heads), ok(tails), frozenset(max(w.split("-"), key=len) for w in (giv - short) | fam), short, frozenset(f for f in family if 2 <= len(f) <= 3 and f not in giv))
 
     def kind(self, word: str, low: str) -> str:
         """G given, F listed family, M formed like one, '' neither; hyphenated words by their parts."""
@@ -265,7 +269,7 @@ def people(t: str, lex: Lexicon) -> list:
 
     def cap(a: int) -> bool:
         w = tok[a][0]
-        return w[0].isupper() and len(w) > 2 and low[a] not in PLACE and low[a] not in FIRM and low[a] not in THING and low[a] not in OPENERS
+        return w[0].isupper() and (len(w) > 2 or low[a] in lex.brief or (len(w) == 2 and w[1].islower() and low[a] not in _BRIEF_WORDS)) and low[a] not in PLACE and low[a] not in FIRM and low[a] not in THING and low[a] not in OPENERS
 
     while i < n:
         k = kinds[i]
@@ -312,7 +316,7 @@ def people(t: str, lex: Lexicon) -> list:
                 if kinds[j + 1] in ("F", "M"):
                     j += 1
                     fam = kinds[j]
-                elif kinds[j] == "G" and not kinds[j + 1] and tok[j][0].islower() and tok[j + 1][0].islower() and len(low[j + 1]) >= 6 and low[j + 1][-4:] in lex.tails:
+                elif kinds[j] == "G" and not kinds[j + 1] and tok[j][0].islower() and tok[j + 1][0].islower() and (len(low[j + 1]) >= 6 and low[j + 1][-4:] in lex.tails or low[j + 1] in lex.brief - OPENERS - VERB - CUE):
                     j += 1
                     fam = "M"
                 elif kinds[j + 1] == "G" and kinds[j] != "I" and tok[j + 1][0][0].isupper() and tok[j][0][0].isupper():
@@ -377,7 +381,7 @@ def _may_name(t: str, words: set[str], lex: Lexicon) -> bool:
     """A cheap test that people() can propose anything."""
     if not lex.known.isdisjoint(words) or not _TITLED.isdisjoint(words) or _INITIAL.search(t) or not t.isascii():
         return True
-    if any(w.title() in t or w.upper() in t for w in lex.short & words):
+    if not lex.short.isdisjoint(words):
         return True
     return any(w[:4].lower() in lex.heads for w in _CAPITAL.findall(t))
 

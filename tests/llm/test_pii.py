@@ -64,6 +64,16 @@ def test_rows_nulls_repeats_and_clashing_names(spark, found):
     assert clean[0].comment_text == "call [PHONE] or [PHONE]" and clean[0].response_text is None and clean[1].response_text == "" and clean[0].ordinal == "a"
 
 
+def test_short_family_names_and_lower_case_nicknames():
+    """Proposed beside a title, an initial or a given name, not bare."""
+    lex = pii.Lexicon.of({"maria": 3}, {"ng": 1, "lee": 1, **{f"{a}{b}": 1 for a in ("thirl", "kello") for b in ("quist", "amark")}})
+    spans = lambda t: [t[a:b] for a, b, k, _ in pii.proposals(t, lex) if k == "name"]
+    for t in ("Dr. Ng", "J. Ng", "Maria Ng", "Ng, Maria", "Dr. Wu", "Maria Lee", "maria lee"):
+        assert spans(f"Noted with {t} there.") == [t]
+    assert spans("Noted: ask bob sableamark there.") == ["bob sableamark"]
+    assert spans("Ng noted it. Lee noted it.") == [] and spans("Maria On the whole.") in ([], ["Maria"])
+
+
 def test_lexicon_keeps_every_name(spark):
     """More different names than 200,000, each with one bearer."""
     name = F.concat(F.lit("Q"), F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "bcdfghjklm"))
