@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 # Cells that count as empty.
@@ -36,19 +36,35 @@ def sql_empty(c: str) -> str:
     return f"({c} IS NULL OR regexp_matches({c}, '{BLANK_RE2}') OR {c} IN ('-','x','X','~','nan','NaN','NAN'))"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, a folder of our own on a local master only.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where
-    that is unset (tests) a folder of our own is used.
+    On a cluster a machine's own folder would be lost with the machine, so there
+    the setting is asked for.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or Path(tempfile.mkdtemp(prefix="reviewloom-")).as_uri())
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def short_list(df: DataFrame, most: int = 100_000) -> list[Row]:
+    """The rows of a list that is short by its meaning (targets, specifications); raises where it is not."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows in a table that should be a short list")
+    return rows
+
+
 def maybe_broadcast(df: DataFrame, most: int = 1000) -> DataFrame:
     """df as a broadcast table if it has at most `most` rows, which is counted; else as it is.
 
@@ -58,17 +74,17 @@ def maybe_broadcast(df: DataFrame, most: int = 1000) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores.
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan in at least as many partitions as there are cores.
 
-    A scan of large data has them already and is left alone; only a small input
-    that came as one piece is dealt out before a costly per-row stage. A plan
-    that shuffles is left alone too: its partitions are known only when it runs.
+    Large data has them already and is left alone; only a small input that came
+    as a few pieces is dealt out, texts included, before a costly per-row stage.
+    The pieces are counted by a query that reads no column. For plain scans: a
+    plan with shuffles would run twice.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    pieces = scan.select(F.spark_partition_id().alias("p")).distinct().count()
+    return scan.repartition(cores) if pieces < cores else scan
 
 
 _SHIPPED: set[str] = set()
