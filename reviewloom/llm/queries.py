@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from reviewloom.common import table
+from pyspark.sql import functions as F
+
+from reviewloom.common import spread, table
 from reviewloom.llm import canonical, mixing, packing, pii, repetition, variants
 
 
 def _review(spark, d):
-    return table(spark, d, "normalized_output_example").select("rec_id", "author", "comment_text", "response_text")
+    return spread(table(spark, d, "normalized_output_example").select("rec_id", "author", "comment_text", "response_text"))
 
 
 def p1_found(spark, d):
@@ -45,7 +47,7 @@ def p5_unmatched(spark, d):
 
 
 def p6_containers(spark, d):
-    return packing.pack(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "container_specs"))
+    return packing.pack(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "container_specs"))
 
 
 def p6_usage(spark, d):
@@ -53,17 +55,17 @@ def p6_usage(spark, d):
 
 
 def p7_mixture(spark, d):
-    return mixing.mix(table(spark, d, "documents").select("doc_id", "source", "text"), table(spark, d, "mixture_targets"))
+    return mixing.mix(spread(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mixture_targets"))
 
 
 def p7_shares(spark, d):
-    docs, targets = table(spark, d, "documents").select("doc_id", "source", "text"), table(spark, d, "mixture_targets")
+    docs, targets = spread(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mixture_targets")
     sized = mixing.usable(docs, targets)
     return mixing.shares(mixing.mix(docs, targets, sized=sized), targets, sized)
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text", "project", "source")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "project", "source"))
 
 
 def p8_found(spark, d):
@@ -71,18 +73,32 @@ def p8_found(spark, d):
 
 
 def p8_repetition(spark, d):
-    return repetition.judged(_docs(spark, d))
+    x = repetition.judged(_docs(spark, d))
+    return x.withColumn("failed_rules", F.array_join("failed_rules", ","))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_entities, p5_found, p5_unmatched, p6_containers, p6_usage, p7_mixture, p7_shares, p8_found, p8_repetition)}
-# Words, runs of six, the first place of each run, and words within six of a later one.
+# Words, runs of six and of three, the first place of each, and words within six of a later one.
+_WORDS = (
+    r"t AS (SELECT doc_id, {extra} regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '\p{{Nd}}+(?:[.,:/\-]\p{{Nd}}+)*', '0', 'g'), '[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*') AS w FROM documents),"
+    " p AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM t),"
+    " g AS (SELECT doc_id, i, CASE WHEN i + 5 <= len(w) THEN array_to_string(w[i:i+5], ' ') END AS run, CASE WHEN i + 2 <= len(w) THEN array_to_string(w[i:i+2], ' ') END AS triple FROM p),"
+    " f AS (SELECT doc_id, i, run IS NOT NULL AND i > min(i) OVER (PARTITION BY doc_id, run) AS again, triple IS NOT NULL AND i > min(i) OVER (PARTITION BY doc_id, triple) AS again3 FROM g),"
+    " c AS (SELECT doc_id, again3, max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS 5 PRECEDING) AS twice FROM f)"
+)
+_STRIP = r"list_filter(list_transform(string_split(coalesce(text, ''), {by}), lambda x: regexp_replace(x, '^[\s\v\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+|[\s\v\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+$', '', 'g')), lambda x: x <> '')"
+_LENGTHS = "coalesce(list_sum(list_transform({x}, lambda x: length(x))), 0)"
+_TWICE = "CASE WHEN len({x}) < 2 THEN 0 ELSE 1 - " + _LENGTHS.format(x="list_distinct({x})") + " / " + _LENGTHS + " END"
 SQL: dict[str, str] = {
-    "p8_found": (
-        r"WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '\p{Nd}+(?:[.,:/\-]\p{Nd}+)*', '0', 'g'), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*') AS w FROM documents WHERE text IS NOT NULL),"
-        " p AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM t),"
-        " g AS (SELECT doc_id, i, CASE WHEN i + 5 <= len(w) THEN array_to_string(w[i:i+5], ' ') END AS run FROM p),"
-        " f AS (SELECT doc_id, i, run IS NOT NULL AND i > min(i) OVER (PARTITION BY doc_id, run) AS again FROM g),"
-        " c AS (SELECT doc_id, max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS 5 PRECEDING) AS twice FROM f)"
-        " SELECT doc_id FROM c GROUP BY doc_id HAVING avg(twice) >= 0.3"
+    "p8_found": f"WITH {_WORDS.format(extra='')} SELECT doc_id FROM c GROUP BY doc_id HAVING avg(twice) >= 0.3 - 1e-9",
+    "p8_repetition": (
+        f"WITH {_WORDS.format(extra=' concat_ws(chr(47), coalesce(project, chr(63)), coalesce(source, chr(63))) AS host,' + _STRIP.format(by='chr(10)') + ' AS ls,' + _STRIP.format(by='chr(10) || chr(10)') + ' AS ps,')},"
+        f" d AS (SELECT doc_id, host, len(w) AS n_words, {_TWICE.format(x='ls')} AS line_share, {_TWICE.format(x='ps')} AS paragraph_share FROM t),"
+        " m AS (SELECT d.*, coalesce(again, 0) AS triple_share, coalesce(rep, 0) AS n_repeated, coalesce(share, 0) AS repeated_share FROM d LEFT JOIN (SELECT doc_id, avg(again3::INT) AS again, sum(twice) AS rep, avg(twice) AS share FROM c GROUP BY 1) USING (doc_id)),"
+        " r AS (SELECT *, list_filter([CASE WHEN line_share >= 0.3 - 1e-9 THEN 'line_share' END, CASE WHEN paragraph_share >= 0.3 - 1e-9 THEN 'paragraph_share' END, CASE WHEN triple_share >= 0.2 - 1e-9 THEN 'triple_share' END], lambda x: x IS NOT NULL) AS failed_rules FROM m),"
+        " h AS (SELECT host, count(*) AS n, count(*) FILTER (len(failed_rules) > 0) AS k FROM r GROUP BY 1),"
+        " z AS (SELECT sum(k) / sum(n) AS mean, greatest(sum(k * k / n) / sum(n) - (sum(k) / sum(n)) ** 2, 1e-9) AS var FROM h),"
+        " v AS (SELECT host, (k + s * mean) / (n + s) AS host_rate, mean FROM h, (SELECT mean, greatest(mean * (1 - mean) / var - 1, 1) AS s FROM z))"
+        " SELECT r.* REPLACE (array_to_string(failed_rules, ',') AS failed_rules), host_rate, mean > 0 AND host_rate >= 1.5 * mean - 1e-9 AS host_bad, len(failed_rules) > 0 OR (mean > 0 AND host_rate >= 1.5 * mean - 1e-9) AS checked FROM r JOIN v USING (host)"
     ),
 }

@@ -3,12 +3,20 @@
 Each text is turned into words (letter case, punctuation and spacing aside; any
 number reads as one `0`). A run of `RUN` words that began earlier in the same
 text marks its words as repeated; the repeated share is their part of all
-words. Line and paragraph repetition are measured as well. Every measure has a
-limit; failures are added up by host (project and source), the failure rate is
-shrunk towards the corpus by an empirical beta prior, and the host's verdict
-joins back to its documents. `found` needs the exact share; as the share is one
-of the rules, it equals the test of each document by itself, and the host level
-shows in `judged` only.
+words. That is the exact check, and it is not made for every document:
+
+1. Cheap rules measure each document: lines, paragraphs and word triples that
+   occurred before. A measure at its limit is a failure.
+2. Failures are added up by host (project and source); the failure rate is shrunk
+   towards the corpus by an empirical beta prior, and a host whose shrunk rate
+   is at least `BAD` times the corpus rate is bad.
+3. Host verdicts join back to the documents: every document that failed a rule
+   and every document of a bad host gets the exact check.
+
+The limit on word triples is the least that a document with a repeated share of
+`SHARE` can have: a run of six brings four triples that occurred before, and
+runs that touch bring no fewer a word. So no document that reaches `SHARE` passes
+the rules, whatever its host; the verdicts decide how much is checked besides.
 
 Null and empty texts have no words and a share of 0; texts shorter than a run
 repeat nothing. Whole texts are read. Equal documents are judged each for
@@ -23,15 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.common import cut, spread
+from reviewloom.common import cut, maybe_broadcast
 
 RUN = 6
 SHARE = 0.3
+SHORT = 3
+BAD = 1.5
 # Limits of the document rules; a measure at its limit fails.
-RULES = {"repeated_share": SHARE, "line_share": 0.3, "paragraph_share": 0.3}
+RULES = {"line_share": 0.3, "paragraph_share": 0.3, "triple_share": SHARE * (RUN + 1 - SHORT) / RUN}
 
 _NUMBER = re.compile(r"\d+(?:[.,:/\-]\d+)*")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -82,53 +92,102 @@ def _again(parts: list[str]) -> float:
     return twice / total
 
 
-def measure(text: str | None) -> tuple[int, int, float, float]:
-    """(words, repeated words, share of repeated lines, of repeated paragraphs)."""
+def triple_share(words: list[str]) -> float:
+    """Share of words that begin a run of three which began earlier too."""
+    n = len(words)
+    return (n - 2 - len(set(zip(words, words[1:], words[2:])))) / n if n > SHORT else 0.0
+
+
+def rules(text: str | None) -> tuple[int, float, float, float]:
+    """(words, share of repeated lines, of repeated paragraphs, of repeated word triples)."""
     if not text:
-        return 0, 0, 0.0, 0.0
+        return 0, 0.0, 0.0, 0.0
     words = words_of(text)
-    return len(words), int(repeated_mask(words).sum()), _again(text.split("\n")), _again(text.split("\n\n"))
+    return len(words), _again(text.split("\n")), _again(text.split("\n\n")), triple_share(words)
+
+
+def fails(measured: tuple[int, float, float, float]) -> bool:
+    """Some rule's measure is at its limit; 1e-9 stands for rounding."""
+    return any(m >= limit - 1e-9 for m, limit in zip(measured[1:], RULES.values()))
+
+
+def exact(text: str | None) -> int:
+    """The exact check: how many words of the text are repeated."""
+    return int(repeated_mask(words_of(text)).sum()) if text else 0
+
+
+def _host() -> Column:
+    return F.concat_ws("/", F.coalesce(F.col("project"), F.lit("?")), F.coalesce(F.col("source"), F.lit("?"))).alias("host")
+
 
+_MEASURES = "n_words int, line_share double, paragraph_share double, triple_share double, n_repeated int"
+_NAMES = [c.split()[0] for c in _MEASURES.split(", ")]
 
-_MEASURES = "n_words int, n_repeated int, line_share double, paragraph_share double"
 
+def measures(docs: DataFrame, every: bool = False) -> DataFrame:
+    """doc_id, host, the measures of each text and its failed rules; one pass in Arrow batches.
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, project, source and the measures of each text; one pass in Arrow batches."""
+    n_repeated is filled where a rule failed, as the words are at hand, or for `every` document.
+    """
 
     @F.pandas_udf(_MEASURES)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.DataFrame([measure(t) for t in s], columns=["n_words", "n_repeated", "line_share", "paragraph_share"])
+            rows = [(*(m := rules(t)), exact(t) if every or fails(m) else None) for t in s]
+            out = pd.DataFrame(rows, columns=_NAMES)
+            out["n_repeated"] = pd.array([r[-1] for r in rows], dtype="Int32")
+            yield out
 
-    x = spread(docs.select("doc_id", "project", "source", "text")).select("doc_id", "project", "source", run("text").alias("m")).select("doc_id", "project", "source", "m.*")
-    return x.withColumn("repeated_share", F.when(F.col("n_words") > 0, F.col("n_repeated") / F.col("n_words")).otherwise(0.0))
+    failed = F.filter(F.array(*[F.when(F.col(k) >= v - 1e-9, F.lit(k)) for k, v in RULES.items()]), lambda r: r.isNotNull())
+    return docs.select("doc_id", _host(), run("text").alias("m")).select("doc_id", "host", "m.*").withColumn("failed_rules", failed)
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """measures() with failed_rules, the host's shrunk failure rate and its verdict.
+def hosts(measured: DataFrame) -> DataFrame:
+    """(host, host_rate, host_bad): shrunk failure rate and verdict of each host.
 
-    The beta prior is fitted by moments to the hosts' rates, weighted by their
-    size; a host is bad when its shrunk rate is at least twice the corpus rate.
+    The beta prior is fitted by moments to the hosts' rates, weighted by their size.
     """
-    m = measures(docs)
-    fails = F.filter(F.array(*[F.when(F.col(k) >= v, F.lit(k)) for k, v in RULES.items()]), lambda r: r.isNotNull())
-    # The texts are read once; the numbers below come from the shared folder.
-    m = cut(m.withColumn("failed_rules", fails).withColumn("host", F.concat_ws("/", F.coalesce("project", F.lit("?")), F.coalesce("source", F.lit("?")))))
-    host = m.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.size("failed_rules") > 0).alias("k"))
+    host = measured.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.size("failed_rules") > 0).alias("k"))
     p = F.col("k") / F.col("n")
-    total = host.agg(
-        (F.sum("k") / F.sum("n")).alias("mean"), F.sum("n").alias("n_all"), F.sum(p * p * F.col("n")).alias("m2"), F.count("*").alias("hosts")
-    ).withColumn("var", F.greatest(F.try_divide("m2", "n_all") - F.col("mean") ** 2, F.lit(1e-9)))
+    total = host.agg((F.sum("k") / F.sum("n")).alias("mean"), F.sum("n").alias("n_all"), F.sum(p * p * F.col("n")).alias("m2"))
+    total = total.withColumn("var", F.greatest(F.try_divide("m2", "n_all") - F.col("mean") ** 2, F.lit(1e-9)))
     # Beta(a, b) with the same mean and variance; its strength is kept positive.
     total = total.withColumn("strength", F.greatest(F.col("mean") * (1 - F.col("mean")) / F.col("var") - 1, F.lit(1.0))).select("mean", "strength")
-    host = host.crossJoin(F.broadcast(total))  # one row
     rate = (F.col("k") + F.col("strength") * F.col("mean")) / (F.col("n") + F.col("strength"))
-    host = host.select("host", rate.alias("host_rate"), (rate >= 2 * F.col("mean")).alias("host_bad"))
-    return m.join(host, "host")
+    bad = (F.col("mean") > 0) & (rate >= BAD * F.col("mean") - 1e-9)
+    return host.crossJoin(F.broadcast(total)).select("host", rate.alias("host_rate"), bad.alias("host_bad"))  # one row
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """Every document with its measures, exact share, failed rules, its host's shrunk rate and verdict, and whether these send it to the exact check."""
+    m = cut(measures(docs, every=True))
+    m = m.withColumn("repeated_share", F.when(F.col("n_words") > 0, F.col("n_repeated") / F.col("n_words")).otherwise(0.0))
+    x = m.join(maybe_broadcast(hosts(m)), "host")
+    return x.withColumn("checked", (F.size("failed_rules") > 0) | F.col("host_bad"))
+
+
+def checked(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_repeated) of the documents whose rules or whose host's verdict asked for the exact check.
+
+    Texts are read once for the rules, and once more for bad hosts only; nothing
+    but host names and numbers is shuffled.
+    """
+    m = cut(measures(docs))
+    bad = cut(hosts(m).where("host_bad").select("host"))
+    failed = m.where("n_repeated is not null").select("doc_id", "n_words", "n_repeated")
+
+    @F.pandas_udf("n_words int, n_repeated int")
+    def unfailed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            # What failed a rule has its exact check already.
+            rows = [(m[0], exact(t)) if not fails(m := rules(t)) else (None, None) for t in s]
+            yield pd.DataFrame(rows, columns=["n_words", "n_repeated"]).astype("Int32")
+
+    rest = docs.select("doc_id", _host(), "text").join(maybe_broadcast(bad), "host", "left_semi")
+    rest = rest.select("doc_id", unfailed("text").alias("m")).select("doc_id", "m.*").where("n_words is not null")
+    return failed.unionByName(rest)
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id of the documents whose repeated share reaches the limit."""
-    suspected = (F.size("failed_rules") > 0) | F.col("host_bad")
-    return judged(docs).where(suspected & (F.col("repeated_share") >= SHARE)).select("doc_id")
+    """doc_id of the checked documents whose repeated share reaches the limit."""
+    return checked(docs).where((F.col("n_words") > 0) & (F.col("n_repeated") >= SHARE * F.col("n_words") - 1e-9)).select("doc_id")

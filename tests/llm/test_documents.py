@@ -37,10 +37,34 @@ def test_found(spark):
     assert R.found(spark.createDataFrame([], D)).count() == 0
 
 
-def test_found_is_the_exact_rule(spark, sf):
+def _exact_cases(docs):
+    return {r.doc_id for r in docs.collect() if r.text and (w := R.words_of(r.text)) and R.exact(r.text) / len(w) >= R.SHARE}
+
+
+def test_found_is_what_checking_all_finds(spark, sf):
     docs = table(spark, sf, "documents")
-    want = {r.doc_id for r in docs.collect() if r.text and (m := R.measure(r.text))[0] and m[1] / m[0] >= R.SHARE}
-    assert {r.doc_id for r in R.found(docs).collect()} == want and want
+    assert {r.doc_id for r in R.found(docs).collect()} == _exact_cases(docs) != set()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=60))
+def test_no_case_passes_the_rules(words):
+    """The limit on triples is the least that a case can have."""
+    if words and R.repeated_mask(words).mean() >= R.SHARE:
+        assert R.triple_share(words) >= R.RULES["triple_share"] - 1e-9
+
+
+def test_host_verdicts_choose_what_is_checked(spark):
+    """Every document of a host that fails often is checked; elsewhere only failures are."""
+    bad, good = "one two three four five six seven eight. " * 3, "each of these words stands here but once"
+    docs = [(i, bad if i % 2 else good, "p", "bad", 1, "z") for i in range(40)] + [(100 + i, bad if i == 7 else good, "p", "good", 1, "z") for i in range(200)]
+    df = spark.createDataFrame(docs, D)
+    assert {r.host for r in R.hosts(R.measures(df)).where("host_bad").collect()} == {"p/bad"}
+    ids = sorted(r.doc_id for r in R.checked(df).collect())
+    assert ids == [*range(40), 107]
+    # Without the host level the twenty others of that host would not be checked.
+    assert sorted(r.doc_id for r in R.measures(df).where("size(failed_rules) > 0").collect()) == [*range(1, 40, 2), 107]
+    assert sorted(r.doc_id for r in R.judged(df).where("checked").collect()) == ids
 
 
 def test_host_rates_are_shrunk(spark, sf):
