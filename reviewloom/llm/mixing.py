@@ -1,18 +1,25 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The mixture has `SLOTS` slots of equal size in tokens. Block j of a source with
-weight w is released at slot floor(j/w) and due by slot ceil((j+1)/w); earliest
-deadline first fills the slots, so at every point each source is less than one
-block from its share. Each source's documents, in a fixed pseudo-random order,
-form a line of tokens that is repeated as often as its blocks need; the line is
-cut into blocks and every document follows its block's slot. Documents stay
+A mixture is a row of slots of one block each. A block has at most `BLOCK` tokens
+whatever the size of the data, so ten times the data has ten times the slots. Of
+every `PERIOD` slots each source gets a whole number, its weight rounded up; block
+j of a source with weight w within the period is released at slot floor(j/w) and
+due by slot ceil((j+1)/w), and earliest deadline first fills the slots, so at
+every point each source is less than one block from its share. The period is
+scheduled once, on the driver, and repeats: block j of a source with h slots a
+period stands in period j div h at the place of its block j mod h, which is a
+join with a table of `PERIOD` rows and no sort.
+
+Each source's documents, in a fixed pseudo-random order, form a line of tokens
+that is repeated as often as it is used; the line is cut into as many blocks as
+the source has slots, and every document follows its block's slot. Documents stay
 whole, so a source misses its share by half a document and a block at most.
 
 By default every document is used, at least once and at most `max_repeats`
 times, and within these bounds each source comes as near to its share as it can
 (`balanced`); where bounds keep a source from its target, the report shows the
 gap, and the slots are dealt by the tokens that each source gives, so that it is
-less than one block from its reached share. `exact_shares` instead takes the
+less than one of its blocks from its reached share. `exact_shares` instead takes the
 largest size at which no source needs a document more often than that, which
 leaves the rest of the larger sources unused; `total_tokens` asks for a size.
 With either, short sources give all that they may. The report has the tokens
@@ -34,10 +41,11 @@ from math import ceil, floor
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from reviewloom.common import cut
+from reviewloom.common import cut, short_list
 from reviewloom.llm.tokens import DEFAULT_VOCABULARY, token_count
 
-SLOTS = 2048
+BLOCK = 1024
+PERIOD = 2048
 BUCKET = 20_000
 
 
@@ -91,55 +99,68 @@ def usable(docs: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCABU
 
 def _goal(targets: DataFrame) -> dict[str, tuple[float, int]]:
     """Source -> (target share, most uses of a document)."""
-    return {r.source: (r.target_share, r.max_repeats) for r in targets.where("target_share > 0 and max_repeats > 0 and source is not null").collect()}  # a fixed table
+    return {r.source: (r.target_share, r.max_repeats) for r in short_list(targets.where("target_share > 0 and max_repeats > 0 and source is not null"))}
+
+
+def period_of(take: dict[str, int], block: int = BLOCK, period: int = PERIOD) -> tuple[list[tuple[str, int, int, int]], dict[str, tuple[int, int]]]:
+    """The schedule of one period, and of each source its slots a period and the tokens of its blocks.
+
+    Slots are rounded up, so a source's blocks have at most `block` tokens; small
+    mixtures have one period of smaller blocks.
+    """
+    total = sum(take.values())
+    periods = max(1, -(-total // (block * period)))
+    slots = {s: max(1, -(-n * period // total)) for s, n in take.items() if n > 0}
+    plan = pfair(slots, sum(slots.values()))
+    return plan, {s: (h, -(-take[s] // (h * periods))) for s, h in slots.items()}
+
+
+_OUT = "slot bigint, source string, block bigint, use_no int, doc_id bigint, n_tokens int, token_offset bigint, release bigint, deadline bigint"
 
 
 def mix(
-    docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = DEFAULT_VOCABULARY, slots: int = SLOTS, bucket: int = BUCKET, exact_shares: bool = False, sized: DataFrame | None = None,
+    docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = DEFAULT_VOCABULARY, block: int = BLOCK, period: int = PERIOD, bucket: int = BUCKET, exact_shares: bool = False, sized: DataFrame | None = None,
 ) -> DataFrame:
-    """(slot, source, block, use_no, doc_id, n_tokens, token_offset), an ordered mixture.
+    """One row per use of a document, an ordered mixture: by slot, then token_offset.
 
-    Order by slot, then token_offset. `sized` is usable() of the same tables, where it is at hand.
+    `sized` is usable() of the same tables, where it is at hand. release and
+    deadline are those of the document's block.
     """
     spark = docs.sparkSession
-    empty = "slot int, source string, block int, use_no int, doc_id bigint, n_tokens int, token_offset bigint, release int, deadline int"
     goal = _goal(targets)
     if not goal:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], _OUT)
     sized = usable(docs, targets, vocabulary, bucket) if sized is None else sized
     sums = sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"))
-    sizes = {r.source: int(r.n) for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # a row per target
+    sizes = {r.source: int(r.n) for r in short_list(sums.groupBy("source").agg(F.sum("n").alias("n")))}  # a row per target
     if not sizes:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], _OUT)
     present = {s: goal[s] for s in sizes}
     if total_tokens or exact_shares:
         whole = sum(w for w, _ in present.values())
         feasible = min(int(present[s][1] * sizes[s] * whole / present[s][0]) for s in present)
-        block = max(1, (total_tokens or feasible) // slots)
-        plan = pfair({s: w for s, (w, _) in present.items()}, slots)
+        wanted = {s: int((total_tokens or feasible) * w / whole) for s, (w, _) in present.items()}
         # A short source stops after max_repeats passes; later slots of it stay empty.
-        need = {s: sum(1 for x in plan if x[0] == s) * block for s in present}
-        take = {s: min(need[s], present[s][1] * sizes[s]) for s in present}
+        take = {s: min(wanted[s], present[s][1] * sizes[s]) for s in present}
     else:
-        take = balanced(sizes, present)
-        block = -(-sum(take.values()) // slots)
-        # Every source has a slot for its last, perhaps short, block: at most one slot a source beyond `slots`.
-        blocks = {s: -(-n // block) for s, n in take.items()}
-        plan = pfair(blocks, sum(blocks.values()))
-
-    lines = spark.createDataFrame([(s, sizes[s], take[s]) for s in sizes], "source string, line bigint, take bigint")
-    sched = spark.createDataFrame([(i, *x) for i, x in enumerate(plan)], "slot int, source string, block int, release int, deadline int")
+        wanted = take = balanced(sizes, present)
+    plan, dealt = period_of({s: max(1, n) for s, n in wanted.items()}, block, period)
+
+    lines = spark.createDataFrame([(s, sizes[s], take[s], *dealt[s]) for s in sizes], "source string, line bigint, take bigint, per_period bigint, size bigint")
+    sched = spark.createDataFrame([(i, s, j, r, d) for i, (s, j, r, d) in enumerate(plan)], "at_slot bigint, source string, at_block bigint, release bigint, deadline bigint")
     before = sums.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).drop("n")
     at = F.sum("n_tokens").over(W.partitionBy("source", "bucket").orderBy("h", "doc_id")) - F.col("n_tokens")
-    x = sized.withColumn("at", at).join(before, ["source", "bucket"]).join(F.broadcast(lines), "source")
+    x = sized.withColumn("at", at).join(before, ["source", "bucket"]).join(F.broadcast(lines), "source")  # a row per target
     x = x.withColumn("start", F.col("at") + F.col("before"))
     # A document is used where its middle lies before the end of its source's share.
     room = F.expr("2 * take - 2 * start - n_tokens - 1")
     x = x.withColumn("room", room).where("room >= 0")
     uses = F.expr("sequence(0, cast(room div (2 * line) as int))")
     x = x.withColumn("use_no", F.explode(uses)).withColumn("token_offset", F.col("start") + F.col("use_no") * F.col("line"))
-    x = x.withColumn("block", F.floor(F.col("token_offset") / F.lit(block)).cast("int"))
-    return x.join(F.broadcast(sched), ["source", "block"]).select(*[c.split()[0] for c in empty.split(", ")])  # SLOTS rows
+    x = x.withColumn("block", F.expr("token_offset div size")).withColumns({"at_block": F.expr("block % per_period"), "first": F.expr(f"(block div per_period) * {len(plan)}")})
+    x = x.join(F.broadcast(sched), ["source", "at_block"])  # a row per slot of a period
+    x = x.withColumns({"slot": F.col("first") + F.col("at_slot"), "release": F.col("first") + F.col("release"), "deadline": F.col("first") + F.col("deadline")})
+    return x.select(*[c.split()[0] for c in _OUT.split(", ")])
 
 
 def shares(mixed: DataFrame, targets: DataFrame, sized: DataFrame | None = None) -> DataFrame:

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.common import short_list
 from reviewloom.llm.tokens import DEFAULT_VOCABULARY, token_count
 
 GROUP = 20_000
@@ -76,7 +77,7 @@ _OUT = "spec_name string, container_id string, doc_id bigint, piece int, first_t
 
 def pack(docs: DataFrame, specs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, group: int = GROUP, n_open: int = OPEN) -> DataFrame:
     """One row per piece of a document in a container of each capacity."""
-    boxes = [(r.spec_name, int(r.capacity_tokens)) for r in specs.where("capacity_tokens > 0").collect()]  # a fixed table
+    boxes = [(r.spec_name, int(r.capacity_tokens)) for r in short_list(specs.where("capacity_tokens > 0"))]
     if not boxes:
         return docs.sparkSession.createDataFrame([], _OUT)
     groups = max(1, -(-docs.count() // group))
@@ -94,7 +95,8 @@ def pack(docs: DataFrame, specs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY
         out["doc_id"] = pd.array([r[2] for r in rows], dtype="Int64")
         return out
 
-    return sized.groupBy("g").applyInPandas(fill, _OUT)
+    # Packing is work for the CPU, not for memory: groups keep tasks of their own, however few bytes they have.
+    return sized.repartition(groups, "g").groupBy("g").applyInPandas(fill, _OUT)
 
 
 def usage(packed: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewloom.common import spread, table
+from reviewloom.common import cut, spread, table
 from reviewloom.llm import canonical, mixing, packing, pii, repetition, variants
+from reviewloom.llm.tokens import token_count
 
 
 def _review(spark, d):
@@ -54,6 +55,19 @@ def p6_usage(spark, d):
     return packing.usage(p6_containers(spark, d))
 
 
+def p6_checks(spark, d):
+    """What must hold of any packing, counted over all documents and containers."""
+    docs, specs = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "container_specs")
+    packed = cut(packing.pack(spread(docs), specs))
+    sizes = cut(spread(docs).select("doc_id", token_count(F.col("text")).alias("n")))
+    per = packed.groupBy("spec_name", "capacity_tokens", "doc_id").agg(F.sum("n_tokens").alias("kept"), F.count("*").alias("pieces"))
+    per = per.join(sizes, "doc_id").groupBy("spec_name").agg(
+        F.count("*").alias("documents"), F.count_if(F.col("kept") != F.col("n")).alias("incomplete"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= F.col("capacity_tokens"))).alias("split_in_vain"),
+    )
+    box = packed.groupBy("spec_name", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("load"))
+    return per.join(box.groupBy("spec_name").agg(F.count_if(F.col("load") > F.col("capacity_tokens")).alias("overfull")), "spec_name")
+
+
 def p7_mixture(spark, d):
     return mixing.mix(spread(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mixture_targets"))
 
@@ -64,6 +78,17 @@ def p7_shares(spark, d):
     return mixing.shares(mixing.mix(docs, targets, sized=sized), targets, sized)
 
 
+def p7_checks(spark, d):
+    """What must hold of any mixture that uses every document, counted by source."""
+    docs, targets = spread(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mixture_targets")
+    m = cut(mixing.mix(docs, targets))
+    uses = m.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.count_distinct("use_no").alias("passes")).join(targets.select("source", "max_repeats"), "source")
+    early = m.groupBy("source").agg(F.count_if((F.col("slot") < F.col("release")) | (F.col("slot") >= F.col("deadline"))).alias("out_of_window"))
+    return uses.groupBy("source").agg(
+        F.count("*").alias("documents"), F.count_if((F.col("uses") > F.col("max_repeats")) | (F.col("uses") != F.col("passes"))).alias("over_used"),
+    ).join(early, "source")
+
+
 def _docs(spark, d):
     return spread(table(spark, d, "documents").select("doc_id", "text", "project", "source"))
 
@@ -77,7 +102,7 @@ def p8_repetition(spark, d):
     return x.withColumn("failed_rules", F.array_join("failed_rules", ","))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_entities, p5_found, p5_unmatched, p6_containers, p6_usage, p7_mixture, p7_shares, p8_found, p8_repetition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_entities, p5_found, p5_unmatched, p6_containers, p6_usage, p6_checks, p7_mixture, p7_shares, p7_checks, p8_found, p8_repetition)}
 # Words, runs of six and of three, the first place of each, and words within six of a later one.
 _WORDS = (
     r"t AS (SELECT doc_id, {extra} regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '\p{{Nd}}+(?:[.,:/\-]\p{{Nd}}+)*', '0', 'g'), '[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*') AS w FROM documents),"
@@ -91,6 +116,8 @@ _LENGTHS = "coalesce(list_sum(list_transform({x}, lambda x: length(x))), 0)"
 _TWICE = "CASE WHEN len({x}) < 2 THEN 0 ELSE 1 - " + _LENGTHS.format(x="list_distinct({x})") + " / " + _LENGTHS + " END"
 SQL: dict[str, str] = {
     "p8_found": f"WITH {_WORDS.format(extra='')} SELECT doc_id FROM c GROUP BY doc_id HAVING avg(twice) >= 0.3 - 1e-9",
+    "p6_checks": "SELECT spec_name, n AS documents, 0 AS incomplete, 0 AS split_in_vain, 0 AS overfull FROM container_specs, (SELECT count(*) AS n FROM documents) WHERE capacity_tokens > 0",
+    "p7_checks": "SELECT source, count(*) AS documents, 0 AS over_used, 0 AS out_of_window FROM documents JOIN mixture_targets USING (source) WHERE text <> '' AND target_share > 0 AND max_repeats > 0 GROUP BY 1",
     "p8_repetition": (
         f"WITH {_WORDS.format(extra=' concat_ws(chr(47), coalesce(project, chr(63)), coalesce(source, chr(63))) AS host,' + _STRIP.format(by='chr(10)') + ' AS ls,' + _STRIP.format(by='chr(10) || chr(10)') + ' AS ps,')},"
         f" d AS (SELECT doc_id, host, len(w) AS n_words, {_TWICE.format(x='ls')} AS line_share, {_TWICE.format(x='ps')} AS paragraph_share FROM t),"

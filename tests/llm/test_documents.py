@@ -121,7 +121,7 @@ def test_pfair_is_within_one_block():
 
 def test_mix(spark, sf):
     docs, targets = table(spark, sf, "documents"), table(spark, sf, "mixture_targets")
-    m = mixing.mix(docs, targets, slots=64, bucket=20)
+    m = mixing.mix(docs, targets, period=64, bucket=20)
     p = m.toPandas().sort_values(["slot", "token_offset"])
     most = {r.source: r.max_repeats for r in targets.collect()}
     assert all(g.use_no.max() < most[s] for s, g in p.groupby("source")) and not p.duplicated(["doc_id", "use_no"]).any()
@@ -138,9 +138,33 @@ def test_mix(spark, sf):
     assert all(abs(r.tokens - r.target_share * total) <= big[r.source] / 2 + total / 32 + r.target_share * spare for r in s.itertuples())
 
 
+def test_blocks_do_not_grow_with_the_data():
+    """Ten times the tokens: the same blocks in ten times the slots, each source less than one block from its share at every slot."""
+    take = {"a": 43_000_000, "b": 21_000_000, "c": 700_000, "d": 9_000}
+    small, large = mixing.period_of(take), mixing.period_of({s: 10 * n for s, n in take.items()})
+    assert small[0] == large[0] == mixing.pfair({s: h for s, (h, _) in small[1].items()}, len(small[0]))
+    for s, (h, size) in large[1].items():
+        assert size <= mixing.BLOCK and h == small[1][s][0] and abs(size - small[1][s][1]) <= 0.05 * size + 1
+    whole, got = len(large[0]), dict.fromkeys(take, 0)
+    for t, (s, *_) in enumerate(large[0] * 3, 1):
+        got[s] += 1
+        assert all(abs(got[x] - large[1][x][0] * t / whole) < 1 for x in take)
+
+
+def test_slots_follow_the_period(spark, sf):
+    """Blocks stand where the repeated period has them, for several periods."""
+    docs, targets = table(spark, sf, "documents"), table(spark, sf, "mixture_targets")
+    p = mixing.mix(docs, targets, block=50, period=32).toPandas()
+    place = p.drop_duplicates(["source", "block"]).sort_values("slot")
+    assert p.groupby(["source", "block"]).slot.nunique().max() == 1 and place.slot.is_unique and p.slot.max() > 200
+    assert (place.release <= place.slot).all() and (place.slot < place.deadline).all()
+    for _, g in place.groupby("source"):
+        assert g.block.is_monotonic_increasing
+
+
 def test_mix_short_sources(spark, sf):
     docs, targets = table(spark, sf, "documents"), table(spark, sf, "mixture_targets")
-    p = mixing.mix(docs, targets, total_tokens=10**7, slots=64).toPandas()
+    p = mixing.mix(docs, targets, total_tokens=10**7, period=64).toPandas()
     n = {r.source: r.n for r in docs.where("text <> ''").groupBy("source").agg(F.count("*").alias("n")).collect()}
     assert {s: len(g) for s, g in p.groupby("source")} == {r.source: n[r.source] * r.max_repeats for r in targets.collect() if r.source in n}
 
