@@ -106,60 +106,77 @@ def within(w: str, c: str) -> bool:
 
 def word_cost(w: str, c: str) -> float | None:
     """Price of writing word w for c."""
+    way = word_way(w, c)
+    return way and way[0]
+
+
+def word_way(w: str, c: str) -> tuple[float, bool] | None:
+    """(price of writing word w for c, whether letters changed so that it may be another word)."""
     if w == c:
-        return 0.0
+        return 0.0, False
     if len(w) >= 3 and c.startswith(w):
-        return 0.5
+        return 0.5, False
     n = edits(w, c, _slips(min(len(w), len(c))))
     if n <= _slips(min(len(w), len(c))):
-        return float(n)
+        return float(n), True
     if len(c) >= 4 and w.startswith(c) and len(w) - len(c) <= 2:
-        return 0.6
+        return 0.6, True
     if len(w) >= 3 and len(c) >= 6 and w[0] == c[0] and w[-1] == c[-1] and within(w, c):
-        return 0.7
+        return 0.7, False
     return None
 
 
 def align(v: list[str], c: list[str]) -> tuple[float, int, int]:
     """(price of the matched words, words of v left over, words of c left over), cheapest word first."""
-    pairs = sorted((k, i, j) for i, w in enumerate(v) for j, x in enumerate(c) if (k := word_cost(w, x)) is not None)
-    vs, cs, total = set(), set(), 0.0
-    for k, i, j in pairs:
+    return _align(v, c)[:3]
+
+
+def _align(v: list[str], c: list[str]) -> tuple[float, int, int, bool]:
+    pairs = sorted((*way, i, j) for i, w in enumerate(v) for j, x in enumerate(c) if (way := word_way(w, x)) is not None)
+    vs, cs, total, changed = set(), set(), 0.0, False
+    for k, other, i, j in pairs:
         if i not in vs and j not in cs:
             vs.add(i)
             cs.add(j)
             total += k
-    return total, len(v) - len(vs), len(c) - len(cs)
+            changed |= other
+    return total, len(v) - len(vs), len(c) - len(cs), changed
 
 
 def org_cost(v: list[str], c: list[str], codes: frozenset[str] = frozenset()) -> float | None:
     """Price of writing the body c as v; codes are further initials of c."""
+    way = org_way(v, c, codes)
+    return way and way[0]
+
+
+def org_way(v: list[str], c: list[str], codes: frozenset[str] = frozenset()) -> tuple[float, bool] | None:
+    """(price, whether letters changed so that v may be another body), by the cheapest way of writing c as v."""
     if not v or not c:
         return None
     bv, bc = big(v), big(c)
-    best: list[float] = []
+    best: list[tuple[float, bool]] = []
     if bv == bc:
-        return 0.0 if v == c else 0.2
+        return (0.0 if v == c else 0.2), False
     for a, b in (("".join(v), "".join(c)), ("".join(bv), "".join(bc))):
         most = min(3, max(0, min(len(a), len(b)) // 5)) if min(len(a), len(b)) >= 4 else 0
         n = edits(a, b, min(most, 2))
         if n <= min(most, 2):
-            best.append(0.1 + n)
+            best.append((0.1 + n, n > 0))
     acr = initials(c) | codes
     if len(c) > 1:
-        if len(v) == 1 and 2 <= len(v[0]) <= 6 and v[0] in acr:
-            best.append(1.0)
+        if len(v) == 1 and len(v[0]) >= 2 and v[0] in acr:
+            best.append((1.0, False))
         elif len(v) > 1:
             for i in (0, -1):
                 rest = v[1:] if i == 0 else v[:-1]
-                if 2 <= len(v[i]) <= 6 and v[i] in acr and v[i] not in c:
-                    cost, extra, _ = align(big(rest), bc)
+                if len(v[i]) >= 2 and v[i] in acr and v[i] not in c:
+                    cost, extra, _, changed = _align(big(rest), bc)
                     if extra == 0:
-                        best.append(1.2 + cost)
+                        best.append((1.2 + cost, changed))
     if len(bv) > 1 and len(bc) > 1:
-        cost, extra, missing = align(bv, bc)
+        cost, extra, missing, changed = _align(bv, bc)
         if extra == 0 and missing == 0 and cost <= max(2.0, 0.5 * len(bc)):
-            best.append(0.3 + cost)
+            best.append((0.3 + cost, changed))
     return min(best) if best else None
 
 
@@ -185,28 +202,35 @@ def person(s: str) -> list[tuple[str, str, float]]:
     return out
 
 
-def _given(a: str, b: str) -> float | None:
+def _given(a: str, b: str) -> tuple[float, bool] | None:
+    """(price, whether it may be another given name)."""
     if a == b:
-        return 0.0
+        return 0.0, False
     if not a or not b:
-        return 1.0
+        return 1.0, False
     if len(a) == 1 or len(b) == 1:
-        return 0.7 if a[0] == b[0] else None
+        return (0.7, False) if a[0] == b[0] else None
     if (a, b) in _SHORT or (b, a) in _SHORT:
-        return 0.5
+        return 0.5, False
     if len(min(a, b, key=len)) >= 3 and (a.startswith(b) or b.startswith(a)):
-        return 0.6
+        return 0.6, True
     n = edits(a.replace("-", ""), b.replace("-", ""), 2)
     if n == 2 and a[0] != b[0]:
         return None
     if n <= (1 if min(len(a), len(b)) < 6 else 2):
-        return float(n)
+        return float(n), n > 0
     return None
 
 
 def person_cost(v: list[tuple[str, str, float]], c: list[tuple[str, str, float]]) -> float | None:
     """Price of writing the person c as v, over the readings of both."""
-    best = None
+    way = person_way(v, c)
+    return way and way[0]
+
+
+def person_way(v: list[tuple[str, str, float]], c: list[tuple[str, str, float]]) -> tuple[float, bool] | None:
+    """(price, whether letters changed so that v may be another person), by the cheapest readings."""
+    best: tuple[float, bool] | None = None
     for ga, fa, pa in v:
         for gb, fb, pb in c:
             g = _given(ga, gb)
@@ -215,14 +239,14 @@ def person_cost(v: list[tuple[str, str, float]], c: list[tuple[str, str, float]]
             if n == 2 and fa[:1] != fb[:1]:
                 n = 3  # another beginning and a second slip: another family
             if g is not None and n <= (0 if min(len(fa), len(fb)) < 4 else 1 if min(len(fa), len(fb)) < 7 else 2):
-                ways.append(g + n)
+                ways.append((g[0] + n, g[1] or n > 0))
             # Initial and family name run together.
             for (g1, f1), (g2, f2) in (((ga, fa), (gb, fb)), ((gb, fb), (ga, fa))):
                 if not g1 and g2 and len(f1) > 4:
                     n = edits(f1, g2[0] + f2, 1)
                     if n <= 1:
-                        ways.append(0.7 + n)
-            for k in ways:
-                if best is None or k + pa + pb < best:
-                    best = k + pa + pb
-    return best if best is not None and best <= 3.0 else None
+                        ways.append((0.7 + n, n > 0))
+            for k, other in ways:
+                if best is None or (k + pa + pb, other) < best:
+                    best = k + pa + pb, other
+    return best if best is not None and best[0] <= 3.0 else None

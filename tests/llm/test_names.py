@@ -134,3 +134,50 @@ def test_set_join_equals_all_pairs(spark, t):
     pairs = lambda s: {("^" + s + "$")[i : i + 2] for i in range(len(s) + 1)}
     want = {("f", a, b) for a in words[:50] for b in words[30:] if len(pairs(a) & pairs(b)) / len(pairs(a) | pairs(b)) >= t}
     assert {(x.f, x.p, x.r) for x in C.set_join(probe, index, "f", t).collect()} == want
+
+
+def test_names_of_their_own_stay_apart(spark):
+    """Two names of like and large frequency are two; the same pair with a rare second is one."""
+    pairs = [
+        ("person", "John Smith", 50000, "Joan Smith", 49000), ("person", "Anna Lee", 10000, "Anne Lee", 9999), ("person", "Maria Chen", 800, "Mario Chen", 800),
+        ("person", "Robert Brown", 400, "Roberta Brown", 399), ("org", "North Region Office", 5000, "South Region Office", 4999), ("org", "East District Council", 700, "West District Council", 699),
+    ]
+    rows = [("f", f"{i}", k, v, n) for i, (k, a, na, b, nb) in enumerate(pairs) for v, n in ((a, na), (b, nb))]
+    # Beside a frequent one, a rare one is a slip; small numbers say little.
+    rows += [("g", f"{i}", k, v, n) for i, (k, a, _, b, _) in enumerate(pairs[2:3] + pairs[4:]) for v, n in ((a, 900), (b, 12))]
+    rows += [("h", "p", "person", "Yusuf Lurdarro", 4), ("h", "p", "person", "Yusf Lurdarro", 3)]
+    got = clusters(V.link(spark.createDataFrame(rows, "field_name string, name_scope string, kind string, value string, n bigint")))
+    assert [len(v) for f, _, v in got if f == "f"] == [1] * 12 and [len(v) for f, _, v in got if f == "g"] == [2] * 3 and [len(v) for f, _, v in got if f == "h"] == [2]
+
+
+def test_every_form_is_explained_by_its_root(spark):
+    """A chain of slips that leads too far is cut."""
+    chain = {"Abcdefghij Bureau": 1000, "Abcdefghik Bureau": 100, "Abcdefxhik Bureau": 20, "Abcxefxhik Bureau": 4}
+    df = spark.createDataFrame([("f", "all", "org", v, n) for v, n in chain.items()], "field_name string, name_scope string, kind string, value string, n bigint")
+    for r in V.link(df).collect():
+        assert N.org_cost(N.org_words(r.value), r.entity.split()) is not None
+
+
+def test_hot_keys_lose_nothing(spark, monkeypatch):
+    """With every key hot the links are the same."""
+    r = random.Random(5)
+    towns = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(5)) for _ in range(15)]
+    rows = []
+    for t in towns:
+        name = f"Ministry of Works and Housing {t.title()}"
+        rows.append((name, 50))
+        for _ in range(3):
+            b = list(name)
+            for _ in range(r.randint(1, 2)):
+                i = r.randrange(1, len(b))
+                b[i : i + r.randint(0, 2)] = r.choice("xyz")
+            rows.append(("".join(b), 1))
+    df = spark.createDataFrame([("f", "all", "org", v, n) for v, n in dict(rows).items()], "field_name string, name_scope string, kind string, value string, n bigint")
+    want = clusters(V.link(df))
+    monkeypatch.setattr(V, "HOT", 1)
+    assert clusters(V.link(df)) == want
+
+
+def test_long_acronyms_link(spark):
+    rows = [("f", "all", "org", "Board of Alpha Beta Gamma Delta Epsilon Zeta Eta Theta", 50), ("f", "all", "org", "BABGDEZET", 9)]
+    assert len(clusters(V.link(spark.createDataFrame(rows, "field_name string, name_scope string, kind string, value string, n bigint")))) == 1
