@@ -243,7 +243,7 @@ def link(values: DataFrame, known: DataFrame | None = None) -> DataFrame:
         score = F.log(F.col("cn") + 1.0) - SLIP_PRICE * F.col("price")
         return p.groupBy(*scope, "form").agg(F.min_by("c", F.struct(-score, "c")).alias("parent"))
 
-    up = cut(forms.join(attach(pairs), [*scope, "form"], "left").select(*scope, "form", "n", "listed", "codes", "parent0", F.coalesce("parent0", "parent", "form").alias("root")))
+    up = cut(forms.join(attach(pairs), [*scope, "form"], "left").select(*scope, "form", "n", "listed", "codes", F.coalesce("parent", "form").alias("root")))
     # Follow the links; a link always leads to a more frequent or listed form, so this ends.
     while True:
         top = up.select(*scope, F.col("form").alias("root"), F.col("root").alias("next"))
@@ -251,9 +251,9 @@ def link(values: DataFrame, known: DataFrame | None = None) -> DataFrame:
         up = new.drop("moved")
         if new.where("moved").isEmpty():
             break
-    # Each form against its root; other names of listed bodies are theirs.
+    # Each form against its root; a listed body's other names are roots as well, until the end.
     roots = up.where(F.col("form") == F.col("root")).select(*scope, F.col("form").alias("c"), F.col("n").alias("cn"), F.col("listed").alias("cl"), F.col("codes").alias("cc"))
-    loose = up.where((F.col("form") != F.col("root")) & F.col("parent0").isNull())
+    loose = up.where(F.col("form") != F.col("root"))
     own = loose.select(*scope, "form", "n", F.col("root").alias("c")).join(roots, [*scope, "c"])
     own = cut(own.withColumn("way", way("kind", "form", "c", "cc")).select("*", "way.price", "way.changed").drop("way"))
     own_ok = attach(own.where("price is not null"))
@@ -261,6 +261,8 @@ def link(values: DataFrame, known: DataFrame | None = None) -> DataFrame:
     second = attach(pairs.join(lost, [*scope, "form"], "left_semi").join(roots.select(*scope, "c"), [*scope, "c"], "left_semi"))
     fixed = lost.join(second, [*scope, "form"], "left").select(*scope, "form", F.coalesce("parent", "form").alias("again"))
     up = up.join(fixed, [*scope, "form"], "left").select(*scope, "form", F.coalesce("again", "root").alias("root"))
+    other = forms.where("parent0 is not null").select(*scope, F.col("form").alias("root"), "parent0")
+    up = up.join(other, [*scope, "root"], "left").select(*scope, "form", F.coalesce("parent0", "root").alias("root"))
     return x.join(up, key).select("field_name", "name_scope", "value", "n", F.col("root").alias("entity"))
 
 
