@@ -1,28 +1,39 @@
 """Schemas that drift between deliveries: a lifespan catalogue of columns.
 
 Every file's header row and typed cells are its footer: exploded, they give one
-row per (producer, delivery, column, type). Columns are named by *field*
-through an alias table; what it does not know is paired by content: columns
-whose cells begin alike or have words and whole shapes in common may pair, the
-most alike first, until no pair is left. A lag over
-the deliveries of a producer turns presence into islands, whose first and last
-deliveries are logged as starts and endings; a start and an ending of the same
-field in the same delivery is a rename. The alias table also generates the
-casts of the unified table.
+row per (producer, delivery, column, type). Columns are named by *field* through
+an alias table, which is an input with a default. A lag over the deliveries of a
+producer turns the presence of a (header, field, type) into islands, the
+catalogue of lifespans; the first and last delivery of an island are logged as
+a start and an ending, and every change is read from these:
+
+* a start and an ending of one header in one delivery: its type changed;
+* a start and an ending of one field, or of columns with like content where the
+  alias table does not know a header: renamed, the most alike first, until no
+  pair is left;
+* what is left over was added or removed.
+
+Content is compared by sketches of fixed size: the least hash in each of
+`BUCKETS` buckets, over the words of all cells and over the shapes of all their
+parts, so whole cells count and a column of any length costs the same. The alias
+table also generates the casts of the unified table.
 
 Nulls: a file without header cells has no columns; empty cells give no type. A
-repeated header in one file counts once, at its first position. A column with
-no filled data cell has no type and so never changes it. A file whose
+repeated header in one file counts once, at its first position, and columns
+without a header are no change; the unified table keeps the cells of both. A
+column with no filled data cell has no type and so never changes it. A file whose
 `data_structure` is unknown on either side reports no structure change. Empty
 tables give no changes. Other columns of the tables are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from reviewloom.common import cut, is_empty
+from reviewloom.common import cut, is_empty, maybe_broadcast
 
 # Field -> headers that name it, as compared by `header_key`.
 ALIASES = {
@@ -55,111 +66,147 @@ CASTS = {"date_received": "date", "date_responded": "date", "date_received_2": "
 TARGET = ("comment_id", "section", "topic", "round", "comment_type", "comment_text", "response_text", "author", "date_received", "date_responded", "status", "agency")
 
 
+BUCKETS = 64
+
+
 def header_key(c: Column) -> Column:
     """A header for comparison: lower case, apostrophes dropped, other marks as blanks."""
     c = F.regexp_replace(F.lower(c), "['’]", "")
     return F.trim(F.regexp_replace(c, r"[^\p{L}\p{Nd}]+", " "))
 
 
-def field_of(c: Column) -> Column:
-    """The field that a header names by the alias table, else null."""
-    table = F.create_map(*[F.lit(x) for f, names in ALIASES.items() for n in names for x in (n, f)])
-    return F.try_element_at(table, header_key(c))
+def alias_table(spark: SparkSession, aliases: dict[str, tuple[str, ...]] = ALIASES) -> DataFrame:
+    """(header_key, field): the default alias table; any table of this form will do."""
+    return spark.createDataFrame([(n, f) for f, names in aliases.items() for n in names], "header_key string, field string")
+
+
+def deliveries(manifest: DataFrame) -> DataFrame:
+    """(project, source_file, seq): each file's place in its producer's deliveries."""
+    return manifest.select("project", "source_file", F.row_number().over(W.partitionBy("project").orderBy("delivery_no", "source_file")).alias("seq"))
 
 
 def _sheet_cells(cells: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Cells of each file's data sheet: the named one, else the first."""
+    """Cells of each file's data sheet: the named one, else the first; chosen among sheets, not among cells."""
     m = manifest.select("source_file", "sheet_name", "header_row")
-    c = cells.select("source_file", "sheet", "sheet_idx", "row_idx", "col_idx", "cell_value", "vtype").join(m, "source_file")
-    first = F.min(F.struct(F.when(F.col("sheet") == F.col("sheet_name"), 0).otherwise(1), "sheet_idx")).over(W.partitionBy("source_file"))
-    return c.withColumn("pick", first["sheet_idx"]).where(F.col("sheet_idx") == F.col("pick")).drop("pick", "sheet")
+    sheets = cells.select("source_file", "sheet", "sheet_idx").distinct().join(m, "source_file")
+    named = F.when(F.col("sheet") == F.col("sheet_name"), 0).otherwise(1)
+    pick = sheets.groupBy("source_file").agg(F.min(F.struct(named.alias("other"), "sheet_idx"))["sheet_idx"].alias("sheet_idx"), F.first("header_row").alias("header_row"))
+    return cells.select("source_file", "sheet_idx", "row_idx", "col_idx", "cell_value", "vtype").join(pick, ["source_file", "sheet_idx"]).drop("sheet_idx")
 
 
-def catalogue(manifest: DataFrame, cells: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(project, source_file, seq, header, field, vtype, shapes, whole): the exploded footers.
+def sketches(data: DataFrame) -> DataFrame:
+    """(source_file, col_idx, shapes, words): sketches of each column's filled cells.
 
-    seq is the file's place in the producer's deliveries. Headers come from the
-    header row; files that have none there take them from the column pairs.
-    vtype is the type of most filled data cells (ties: by name); shapes are the
-    beginnings of the cells' shapes, whole the hashes of their words and whole shapes.
+    A cell's shapes are those of its parts between blanks (letters as `a`, digits
+    as `9`) and its length as a power of two. Both sketches hold the least hash of
+    each bucket; they merge by taking the lesser, so partial aggregates are small.
     """
-    files = manifest.select("project", "source_file", F.row_number().over(W.partitionBy("project").orderBy("delivery_no", "source_file")).alias("seq"))
-    sheet = _sheet_cells(cells, manifest)
-    heads = sheet.where((F.col("row_idx") == F.col("header_row")) & ~is_empty(F.col("cell_value"))).select("source_file", "col_idx", F.trim("cell_value").alias("header"))
-    # A header in the pairs but not in the cells: sampled files.
-    listed = pairs.where(F.trim("source_column") != "").groupBy("source_file", F.trim("source_column").alias("header")).agg(F.min("pair_id").alias("pair_id"))
-    extra = listed.join(heads.select("source_file").distinct(), "source_file", "left_anti").select("source_file", F.lit(None).cast("int").alias("col_idx"), "header")
-    first = heads.groupBy("source_file", "header").agg(F.min("col_idx").alias("col_idx")).select("source_file", "col_idx", "header").unionByName(extra)
-    data = sheet.where((F.col("row_idx") > F.col("header_row")) & ~is_empty(F.col("cell_value")))
-    shape = F.regexp_replace(F.regexp_replace("cell_value", r"\p{L}+", "a"), r"\p{Nd}+", "9")
-    words = F.transform(F.regexp_extract_all(F.lower("cell_value"), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)), lambda w: F.xxhash64(w))
-    whole = F.array_append(words, F.xxhash64(shape, F.lit("shape")))
-    kinds = data.groupBy("source_file", "col_idx", "vtype").agg(F.count("*").alias("n"), F.collect_set(F.substring(shape, 1, 12)).alias("shapes"), F.array_distinct(F.flatten(F.collect_list(whole))).alias("whole"))
-    kinds = kinds.groupBy("source_file", "col_idx").agg(F.min_by("vtype", F.struct(-F.col("n"), "vtype")).alias("vtype"), F.flatten(F.collect_list("shapes")).alias("shapes"), F.flatten(F.collect_list("whole")).alias("whole"))
-    return files.join(first, "source_file").join(kinds, ["source_file", "col_idx"], "left").withColumn("field", field_of(F.col("header")))
+    v = F.col("cell_value")
+    shape = F.regexp_replace(F.regexp_replace(v, r"\p{L}+", "a"), r"\p{Nd}+", "9")
+    size = F.concat(F.lit("length "), F.floor(F.log2(F.length(v) + 1)).cast("string"))
+    hashes = lambda words, seed: F.transform(words, lambda w: F.struct(F.lit(seed).alias("of"), F.xxhash64(w, F.lit(seed)).alias("h")))
+    parts = F.concat(hashes(F.array_append(F.split(F.trim(shape), r"\s+"), size), "shapes"), hashes(F.regexp_extract_all(F.lower(v), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)), "words"))
+    x = data.select("source_file", "col_idx", F.explode(parts).alias("p")).groupBy("source_file", "col_idx", "p.of", F.pmod("p.h", F.lit(BUCKETS)).alias("bucket")).agg(F.min("p.h").alias("h"))
+    return x.groupBy("source_file", "col_idx").agg(*[F.array_sort(F.collect_list(F.when(F.col("of") == k, F.col("h")))).alias(k) for k in ("shapes", "words")])
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Share of equal buckets of two sketches: an estimate of their sets' Jaccard similarity."""
+    filled = F.size(F.array_distinct(F.transform(F.concat(a, b), lambda h: F.pmod(h, F.lit(BUCKETS)))))
+    return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(filled, F.lit(0)), F.lit(0.0))
+
+
+def footers(manifest: DataFrame, cells: DataFrame, pairs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(project, source_file, seq, col_idx, header, field, vtype): every column of every file.
+
+    Headers come from the header row; files that have none there take them from
+    the column pairs (without a position). header is null for a column that has
+    cells and no header. vtype is the type of most filled data cells (ties: by name).
+    """
+    sheet = _sheet_cells(cells, manifest).where(~is_empty(F.col("cell_value")))
+    is_head, is_data = F.col("row_idx") == F.col("header_row"), F.col("row_idx") > F.col("header_row")
+    typed = sheet.where(is_head | is_data).groupBy("source_file", "col_idx", "vtype").agg(F.count_if(is_data).alias("n"), F.max(F.when(is_head, F.trim("cell_value"))).alias("header"))
+    columns = typed.groupBy("source_file", "col_idx").agg(F.max("header").alias("header"), F.min_by(F.when(F.col("n") > 0, F.col("vtype")), F.when(F.col("n") > 0, F.struct(-F.col("n"), "vtype"))).alias("vtype"))
+    listed = pairs.where(F.trim("source_column") != "").select("source_file", F.lit(None).cast("int").alias("col_idx"), F.trim("source_column").alias("header"), F.lit(None).cast("string").alias("vtype")).distinct()
+    columns = columns.unionByName(listed.join(columns.where("header is not null").select("source_file").distinct(), "source_file", "left_anti"))
+    names = maybe_broadcast((aliases if aliases is not None else alias_table(manifest.sparkSession)).select("header_key", "field"))
+    x = deliveries(manifest).join(columns, "source_file").withColumn("header_key", header_key(F.col("header")))
+    return x.join(names, "header_key", "left").select("project", "source_file", "seq", "col_idx", "header", "field", "vtype")
+
+
+def catalogue(manifest: DataFrame, cells: DataFrame, pairs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """One row per file and header, with the type and the sketches of its first column: the exploded footers."""
+    first = footers(manifest, cells, pairs, aliases).where("header is not null").groupBy("project", "source_file", "seq", "header", "field").agg(F.min(F.struct("col_idx", "vtype")).alias("c"))
+    data = _sheet_cells(cells, manifest).where((F.col("row_idx") > F.col("header_row")) & ~is_empty(F.col("cell_value")))
+    return first.select("project", "source_file", "seq", "header", "field", "c.col_idx", "c.vtype").join(sketches(data), ["source_file", "col_idx"], "left")
 
 
 def lifespans(cat: DataFrame) -> DataFrame:
-    """Islands of consecutive deliveries per producer, header, field and type, with first and last."""
+    """Islands of consecutive deliveries per producer, header, field and type: first and last delivery, and the sketches there."""
     key = ["project", "header", "field", "vtype"]
     w = W.partitionBy(*key).orderBy("seq")
     x = cat.withColumn("new", (F.col("seq") - F.lag("seq").over(w) != 1).cast("int"))
-    x = x.withColumn("island", F.sum(F.coalesce("new", F.lit(1))).over(w))
-    return x.groupBy(*key, "island").agg(F.min("seq").alias("first_delivery"), F.max("seq").alias("last_delivery"))
-
-
-def events(cat: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Columns that go on, start or end between two deliveries, logged at the later one."""
-    w = W.partitionBy("project", "header").orderBy("seq")
-    x = cat.select("*", F.lag("seq").over(w).alias("before"), F.lag("vtype").over(w).alias("old_vtype"), F.lead("seq").over(w).alias("after"))
-    cols = ["project", "seq", "header", "field", "vtype", "shapes", "whole"]
-    stays = x.where(F.col("before") == F.col("seq") - 1).select("project", "seq", "header", "vtype", "old_vtype")
-    starts = x.where((F.col("seq") > 1) & (F.col("before").isNull() | (F.col("before") < F.col("seq") - 1))).select(*cols, F.lit("start").alias("event"))
-    last = files.groupBy("project").agg(F.max("seq").alias("last"))
-    ends = (
-        x.join(last, "project").where((F.col("seq") < F.col("last")) & (F.col("after").isNull() | (F.col("after") > F.col("seq") + 1)))
-        .withColumn("seq", F.col("seq") + 1).select(*cols, F.lit("end").alias("event"))
+    x = x.withColumn("island", F.sum(F.coalesce("new", F.lit(1))).over(w)).withColumn("content", F.struct("shapes", "words"))
+    return x.groupBy(*key, "island").agg(
+        F.min("seq").alias("first_delivery"), F.max("seq").alias("last_delivery"), F.min_by("content", "seq").alias("first_content"), F.max_by("content", "seq").alias("last_content")
     )
-    return stays, starts, ends
 
 
-def changes(manifest: DataFrame, cells: DataFrame, pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def events(spans: DataFrame, files: DataFrame) -> DataFrame:
+    """The log of starts and endings: (project, seq, event, header, field, vtype, content).
+
+    What is there in a producer's first delivery does not start, what is there in the last does not end.
+    """
+    last = files.groupBy("project").agg(F.max("seq").alias("final"))
+    log = F.array(
+        F.struct(F.lit("start").alias("event"), F.col("first_delivery").alias("seq"), F.col("first_content").alias("content")),
+        F.struct(F.lit("end").alias("event"), (F.col("last_delivery") + 1).alias("seq"), F.col("last_content").alias("content")),
+    )
+    x = spans.join(last, "project").select("project", "header", "field", "vtype", "final", F.explode(log).alias("e")).select("project", "header", "field", "vtype", "final", "e.*")
+    return x.where(F.when(F.col("event") == "start", F.col("seq") > 1).otherwise(F.col("seq") <= F.col("final"))).drop("final")
+
+
+def changes(manifest: DataFrame, cells: DataFrame, pairs: DataFrame, rows: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Every change of a producer's layout: (source_file, change_kind, old_column, new_column)."""
-    # The catalogue is small and used three times; it is written once.
-    cat = cut(catalogue(manifest, cells, pairs))
-    files = manifest.select("project", "source_file", F.row_number().over(W.partitionBy("project").orderBy("delivery_no", "source_file")).alias("seq"))
-    stays, starts, ends = events(cat, files)
+    files = deliveries(manifest)
+    # A row per change of a column, used on both sides of the joins below; it is written once.
+    log = cut(events(lifespans(catalogue(manifest, cells, pairs, aliases)), files))
+    side = lambda event, p: log.where(F.col("event") == event).select("project", "seq", F.col("header").alias(p), F.col("field").alias(f"{p}_field"), F.col("vtype").alias(f"{p}_vtype"), F.col("content").alias(f"{p}_content"))
+    starts, ends = side("start", "new"), side("end", "old")
+    # One header ending and starting at once has another type there.
+    at = ["project", "seq"]
+    stays = starts.join(ends.withColumn("new", F.col("old")), [*at, "new"]).select(*at, "old", "new", "old_vtype", "new_vtype")
+    s = starts.join(stays.select(*at, "new"), [*at, "new"], "left_anti")
+    e = ends.join(stays.select(*at, "old"), [*at, "old"], "left_anti")
 
-    s = starts.select("project", "seq", F.col("header").alias("new"), F.col("field").alias("new_field"), F.col("vtype").alias("new_vtype"), F.col("shapes").alias("new_shapes"), F.col("whole").alias("new_whole"))
-    e = ends.select("project", "seq", F.col("header").alias("old"), F.col("field").alias("old_field"), F.col("vtype").alias("old_vtype"), F.col("shapes").alias("old_shapes"), F.col("whole").alias("old_whole"))
     # The field decides; a header unknown to the table pairs by its cells.
-    both = s.join(e, ["project", "seq"])
+    both = s.join(e, at)
     same_key = header_key(F.col("new")) == header_key(F.col("old"))
-    jaccard = lambda a, b: F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))
-    begins, whole = jaccard("new_shapes", "old_shapes"), jaccard("new_whole", "old_whole")
-    alike = (begins + whole) / 2
+    shapes, words = (likeness(F.col(f"new_content.{k}"), F.col(f"old_content.{k}")) for k in ("shapes", "words"))
+    both = both.withColumns({"by_shape": shapes, "by_word": words})
+    alike = (F.col("by_shape") + F.col("by_word")) / 2
     unknown = F.col("new_field").isNull() | F.col("old_field").isNull()
-    score = F.when(same_key, 4.0 + alike).when(F.col("new_field") == F.col("old_field"), 2.0 + alike).when(unknown & (F.col("new_vtype") == F.col("old_vtype")) & (F.greatest(begins, whole) >= 0.5), alike)
+    score = F.when(same_key, 4.0 + alike).when(F.col("new_field") == F.col("old_field"), 2.0 + alike).when(unknown & (F.col("new_vtype") == F.col("old_vtype")) & (F.greatest("by_shape", "by_word") >= 0.5), alike)
     both = both.withColumn("score", score).where(F.col("score").isNotNull())
     # The best pair of a delivery, then the best of the headers still free, until none is left.
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("rank"), "new", "old", "new_vtype", "old_vtype")))
     free = lambda got, p: ~F.exists(got, lambda q: (q["new"] == p["new"]) | (q["old"] == p["old"]))
     best = F.aggregate("ranked", F.slice("ranked", 1, 1), lambda got, p: F.when(free(got, p), F.array_append(got, p)).otherwise(got))
-    pair = both.groupBy("project", "seq").agg(ranked.alias("ranked")).select("project", "seq", F.inline(best)).drop("rank")
-    ren = pair.select("project", "seq", F.lit("renamed").alias("change_kind"), F.col("old").alias("old_column"), F.col("new").alias("new_column"))
-    typed = pair.select("project", "seq", "old", "new", "old_vtype", "new_vtype").unionByName(stays.select("project", "seq", F.col("header").alias("old"), F.col("header").alias("new"), "old_vtype", F.col("vtype").alias("new_vtype")))
-    typ = typed.where(F.col("old_vtype") != F.col("new_vtype")).select("project", "seq", F.lit("type_changed").alias("change_kind"), F.col("old").alias("old_column"), F.col("new").alias("new_column"))
-    add = s.join(pair.select("project", "seq", "new"), ["project", "seq", "new"], "left_anti").select("project", "seq", F.lit("added").alias("change_kind"), F.lit("").alias("old_column"), F.col("new").alias("new_column"))
-    rem = e.join(pair.select("project", "seq", "old"), ["project", "seq", "old"], "left_anti").select("project", "seq", F.lit("removed").alias("change_kind"), F.col("old").alias("old_column"), F.lit("").alias("new_column"))
+    pair = both.groupBy(*at).agg(ranked.alias("ranked")).select(*at, F.inline(best)).drop("rank")
 
+    out = lambda d, kind, old, new: d.select(*at, F.lit(kind).alias("change_kind"), old.alias("old_column"), new.alias("new_column"))
+    none, old, new = F.lit(""), F.col("old"), F.col("new")
+    typed = pair.select(*at, "old", "new", "old_vtype", "new_vtype").unionByName(stays).where(F.col("old_vtype") != F.col("new_vtype"))
     layout = F.lower(F.trim("data_structure"))
     most = rows.where(layout.isin("long", "wide")).groupBy("source_file", layout.alias("layout")).agg(F.count("*").alias("n"))
     most = most.groupBy("source_file").agg(F.min_by("layout", F.struct(-F.col("n"), "layout")).alias("layout"))
     lay = files.join(most, "source_file", "left").withColumn("old_layout", F.lag("layout").over(W.partitionBy("project").orderBy("seq")))
-    struct = lay.where(F.col("layout") != F.col("old_layout")).select("project", "seq", F.lit("structure_changed").alias("change_kind"), F.lit("").alias("old_column"), F.lit("").alias("new_column"))
-
-    out = ren.unionByName(typ).unionByName(add).unionByName(rem).unionByName(struct)
-    return out.join(files, ["project", "seq"]).select("source_file", "change_kind", "old_column", "new_column")
+    every = reduce(DataFrame.unionByName, [
+        out(pair, "renamed", old, new), out(typed, "type_changed", old, new),
+        out(s.join(pair.select(*at, "new"), [*at, "new"], "left_anti"), "added", none, new), out(e.join(pair.select(*at, "old"), [*at, "old"], "left_anti"), "removed", old, none),
+        out(lay.where(F.col("layout") != F.col("old_layout")), "structure_changed", none, none),
+    ])
+    return every.join(files, at).select("source_file", "change_kind", "old_column", "new_column")
 
 
 def casts(field: str, c: Column) -> Column:
@@ -170,15 +217,42 @@ def casts(field: str, c: Column) -> Column:
     return c.try_cast(kind) if kind else c
 
 
-def unify(manifest: DataFrame, cells: DataFrame, pairs: DataFrame) -> DataFrame:
+def _placed(manifest: DataFrame, cells: DataFrame, pairs: DataFrame, aliases: DataFrame | None) -> DataFrame:
+    """Every filled data cell with its column's field and a name that is unique in its file."""
+    cols = footers(manifest, cells, pairs, aliases).where("col_idx is not null")
+    twice = cols.where("header is not null").groupBy("source_file", "header").agg((F.count("*") > 1).alias("twice"))
+    cols = cols.join(twice, ["source_file", "header"], "left")
+    # A repeated header and a missing one are told apart by the column's place.
+    named = F.when(F.col("header").isNull(), F.concat(F.lit("Column_"), "col_idx")).when(F.col("twice"), F.concat("header", F.lit("#"), "col_idx")).otherwise(F.col("header"))
+    cols = cols.select("project", "source_file", "col_idx", "field", named.alias("name"))
+    data = _sheet_cells(cells, manifest).where((F.col("row_idx") > F.col("header_row")) & ~is_empty(F.col("cell_value"))).select("source_file", "row_idx", "col_idx", "cell_value")
+    return data.join(cols, ["source_file", "col_idx"])
+
+
+def unify(manifest: DataFrame, cells: DataFrame, pairs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """One consistent table: a row per data row of every file, a column per target field.
 
-    Columns outside the target go, by header, into the map `other`. Of two
-    columns of one file naming the same field, the leftmost filled cell stays.
+    No filled cell is lost. Of columns of one file naming the same field the
+    leftmost filled cell is the field's; every other cell is in `other`, a JSON
+    map by header (by header and place where a header repeats, `Column_i` where
+    there is none). The text of a cell that its field's cast does not take is in
+    `uncast`, a JSON map by field.
     """
-    cat = catalogue(manifest, cells, pairs).where("col_idx is not null").select("source_file", "col_idx", "header", "field", "project")
-    data = _sheet_cells(cells, manifest).where((F.col("row_idx") > F.col("header_row")) & ~is_empty(F.col("cell_value"))).select("source_file", "row_idx", "col_idx", "cell_value")
-    x = data.join(cat, ["source_file", "col_idx"])
-    agg = [casts(f, F.min_by(F.when(F.col("field") == f, F.col("cell_value")), F.when(F.col("field") == f, F.col("col_idx")))).alias(f) for f in TARGET]
-    rest = F.filter(F.collect_list(F.when(~F.coalesce(F.col("field").isin(*TARGET), F.lit(False)), F.struct(F.col("header").alias("header"), F.col("cell_value").alias("value")))), lambda v: v.isNotNull())
-    return x.groupBy("project", "source_file", "row_idx").agg(*agg, F.to_json(F.map_from_entries(F.array_sort(rest))).alias("other"))
+    x = _placed(manifest, cells, pairs, aliases)
+    x = x.groupBy("project", "source_file", "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "field", "name", "cell_value"))).alias("cs"))
+    cs = F.col("cs")
+    of = lambda f: F.get(F.filter(cs, lambda c: c["field"] == f), F.lit(0))["cell_value"]
+    x = x.withColumns({f: of(f) for f in TARGET})
+    taken = lambda c: F.coalesce(c["field"].isin(*TARGET), F.lit(False)) & ~F.exists(cs, lambda d: (d["field"] == c["field"]) & (d["col_idx"] < c["col_idx"]))
+    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    as_map = lambda entries: F.to_json(F.map_from_entries(F.array_sort(entries)))
+    other = as_map(F.transform(F.filter(cs, lambda c: ~taken(c)), lambda c: entry(c["name"], c["cell_value"])))
+    failed = F.filter(F.array(*[F.when(casts(f, F.col(f)).isNull() & F.col(f).isNotNull(), entry(F.lit(f), F.col(f))) for f in TARGET if f in CASTS]), lambda e: e.isNotNull())
+    return x.select("project", "source_file", "row_idx", *[casts(f, F.col(f)).alias(f) for f in TARGET], other.alias("other"), as_map(failed).alias("uncast"))
+
+
+def cast_report(manifest: DataFrame, cells: DataFrame, pairs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(project, source_file, column_name, field, cast_to, n_cells, n_failed) of every column that the alias table casts."""
+    x = _placed(manifest, cells, pairs, aliases).where(F.col("field").isin(*CASTS))
+    ok, kind = (reduce(lambda w, f: w.when(F.col("field") == f, v(f)), list(CASTS)[1:], F.when(F.col("field") == list(CASTS)[0], v(list(CASTS)[0]))) for v in (lambda f: casts(f, F.col("cell_value")).isNotNull(), lambda f: F.lit(CASTS[f])))
+    return x.withColumns({"ok": ok, "cast_to": kind}).groupBy("project", "source_file", F.col("name").alias("column_name"), "field", "cast_to").agg(F.count("*").alias("n_cells"), F.count_if(~F.col("ok")).alias("n_failed"))

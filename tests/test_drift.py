@@ -60,4 +60,40 @@ def test_empty(spark):
 def test_unify_keeps_other_columns(spark):
     t = tables(spark, [("p1", ["Item #", "Rec'd", "Page"], [[("A-1", "str"), ("2020-01-02 00:00:00", "datetime"), ("4", "int")]])])
     r = D.unify(*t[:3]).collect()[0]
-    assert (r.comment_id, str(r.date_received), r.other) == ("A-1", "2020-01-02", '{"Page":"4"}')
+    assert (r.comment_id, str(r.date_received), r.other, r.uncast) == ("A-1", "2020-01-02", '{"Page":"4"}', "{}")
+
+
+def test_unify_loses_no_cell(spark):
+    """Repeated headers, a column without one, and a cell that its cast does not take."""
+    t = tables(spark, [("p1", ["Comment ID", "Notes", "Notes", "Round", None, "Comment"], [[(v, "str") for v in ("A-1", "n1", "n2", "two", "loose", "text")]] * 2)])
+    r = D.unify(*t[:3]).collect()
+    assert len(r) == 2 and (r[0].comment_id, r[0].round, r[0].comment_text) == ("A-1", None, "text")
+    assert r[0].other == '{"Column_4":"loose","Notes#1":"n1","Notes#2":"n2"}' and r[0].uncast == '{"round":"two"}'
+    assert [tuple(x)[2:] for x in D.cast_report(*t[:3]).collect()] == [("Round", "round", "int", 2, 2)]
+    # Two columns of one field: the leftmost filled cell is the field's, the other is kept.
+    t = tables(spark, [("p1", ["Comment", "Comments Received"], [[("a", "str"), ("b", "str")], [(None, "str"), ("c", "str")]])])
+    assert sorted((r.comment_text, r.other) for r in D.unify(*t[:3]).collect()) == [("a", '{"Comments Received":"b"}'), ("c", "{}")]
+
+
+def test_headers_the_table_does_not_know(spark):
+    """A producer all of whose headers are foreign: the cells decide, and types count."""
+    s = lambda *v: [(x, "str") for x in v]
+    one = [s(f"K-{i}", f"The {w} bank was mapped twice", f"{w} crew") + [(str(i), "int")] for i, w in enumerate(("north", "south", "upper"))]
+    two = [s(f"{w} crew", f"K-{i}") + [(str(i), "int")] + s(f"The {w} bank was mapped again") for i, w in enumerate(("north", "south", "lower"))]
+    books = [("p1", ["Lfd", "Bemerkung", "Wer", "Blatt"], one), ("p2", ["Equipe", "Cote", "Feuille", "Remarque"], two)]
+    got = {tuple(r)[1:] for r in D.changes(*tables(spark, books)).collect()}
+    assert got == {("renamed", "Lfd", "Cote"), ("renamed", "Bemerkung", "Remarque"), ("renamed", "Wer", "Equipe"), ("renamed", "Blatt", "Feuille")}
+
+
+def test_alias_table_is_an_input(spark):
+    s = lambda *v: [(x, "str") for x in v]
+    t = tables(spark, [("p1", ["Lfd"], [s("a")]), ("p2", ["Cote"], [s("1 - 2 - 3 - 4")])])
+    kinds = lambda a: {r.change_kind for r in D.changes(*t, aliases=a).collect()}
+    assert kinds(None) == {"added", "removed"} and kinds(D.alias_table(spark, {"no": ("lfd", "cote")})) == {"renamed"}
+
+
+def test_sketches_are_bounded_and_read_whole_cells(spark):
+    many = [("a", 0, " ".join(f"w{i}x{j}" for j in range(300)), "str") for i in range(50)]
+    df = spark.createDataFrame([(f, c, v) for f, c, v, _ in many] + [("b", 0, "same start here but ends in 77"), ("c", 0, "same start here but ends in WORDS")], "source_file string, col_idx int, cell_value string")
+    r = {x.source_file: x for x in D.sketches(df).collect()}
+    assert len(r["a"].words) <= D.BUCKETS and r["b"].shapes != r["c"].shapes and r["b"].words != r["c"].words
