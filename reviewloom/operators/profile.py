@@ -3,9 +3,14 @@
 A `Constraint` declares what a filled cell of a column must satisfy. All
 constraints of all columns compile into one aggregate over the table whose
 rows are *states* (load, column, value -> counts); states of two partitions or
-of two runs merge by adding, so a new load needs only its own scan. Metrics per
-load are derived from the states, and control limits over the loads' history
-name those that behave unlike the rest.
+of two runs merge by adding. A `Store` keeps them, a folder for each load, so a
+new load needs only its own scan. States hold every different value, which suits
+columns of few values; for ids and texts `sketch_states` hold sketches of bounded
+size that merge as well.
+
+Metrics per load are derived from the states. Findings are metrics beyond a
+control limit: a declared distance from the centre of all loads (`Limit`), or a
+number of robust deviations from the loads before (`history`).
 
 Nulls, blanks and placeholders are empty cells, never faulty. An empty table
 gives empty results. Other columns of the table are not read.
@@ -14,11 +19,14 @@ gives empty results. Other columns of the table are not read.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from reviewloom.common import cut, is_empty
+from reviewloom.common import filled, is_empty, shared_folder, short_list
 
 
 @dataclass(frozen=True)
@@ -121,8 +129,52 @@ def distribution_shift(st: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def metrics(st: DataFrame, constraints=REVIEW_CONSTRAINTS) -> DataFrame:
+    """(column_name, load_no, metric, value): the measures of each load in long form."""
+    full = F.col("n_rows") - F.col("n_empty")
+    each = {
+        "empty_share": F.col("empty_share"), "n_distinct": F.col("n_distinct").cast("double"), "fault_share": F.try_divide(F.col("n_pattern") + F.col("n_range"), full), "top_share": F.try_divide(F.col("n_top"), full),
+    }
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in each.items()])
+    x = profile(st).select("column_name", "load_no", F.explode(rows).alias("m")).select("column_name", "load_no", "m.*")
+    shift = distribution_shift(st, [k.column for k in constraints if k.by_value_distribution])
+    return x.unionByName(shift.select("column_name", "load_no", F.lit("shift").alias("metric"), F.col("shift").alias("value"))).where(F.col("value").isNotNull())
+
+
+@dataclass(frozen=True)
+class Limit:
+    """An upper control limit: `step` above the median of all loads, or above zero."""
+
+    finding: str
+    metric: str
+    step: float
+    above_median: bool = False
+    only: str | None = None
+
+
+# The limits that name a load; `only` is the flag of the columns they apply to.
+REVIEW_LIMITS = (Limit("null_rate", "empty_share", 0.20, above_median=True), Limit("distribution", "shift", 0.35), Limit("constant", "top_share", 0.5, only="by_constant"))
+
+
+def load_findings(st: DataFrame, constraints=REVIEW_CONSTRAINTS, limits: tuple[Limit, ...] = REVIEW_LIMITS) -> DataFrame:
+    """(finding, column_name, case_key = load_no) for the loads beyond a limit.
+
+    Comparisons allow 1e-9 for rounding, so a load exactly on a limit counts.
+    """
+    m = metrics(st, constraints)
+    mid = m.groupBy("column_name", "metric").agg(F.median("value").alias("median"))
+    x = m.join(mid, ["column_name", "metric"])
+    beyond = []
+    for k in limits:
+        where = (F.col("metric") == k.metric) & (F.col("value") - (F.col("median") if k.above_median else F.lit(0.0)) >= k.step - 1e-9)
+        if k.only:
+            where &= F.col("column_name").isin([c.column for c in constraints if getattr(c, k.only)])
+        beyond.append(F.when(where, F.lit(k.finding)))
+    return x.select(F.explode(F.filter(F.array(*beyond), lambda f: f.isNotNull())).alias("finding"), "column_name", F.col("load_no").cast("bigint").alias("case_key"))
+
+
 def control_limits(prof: DataFrame, metric: str = "empty_share", width: float = 6.0, floor: float = 0.02) -> DataFrame:
-    """Shewhart-style limits per column over its history: median and MAD.
+    """Shewhart-style limits per column over all loads: median and MAD.
 
     The centre is the median over all loads, the scale 1.4826 times the median
     absolute deviation, at least `floor`. Adds centre, scale, signal.
@@ -134,23 +186,98 @@ def control_limits(prof: DataFrame, metric: str = "empty_share", width: float =
     return x.withColumn("signal", F.abs(F.col(metric) - F.col("centre")) > width * F.col("scale"))
 
 
-def load_findings(st: DataFrame, constraints=REVIEW_CONSTRAINTS, null_step: float = 0.20, shift: float = 0.35, constant: float = 0.5) -> DataFrame:
-    """(finding, column_name, case_key = load_no) for the loads unlike the rest.
+def history(m: DataFrame, width: float = 6.0, floor: float = 0.02, least: int = 3) -> DataFrame:
+    """Each metric of each load against the loads before it: centre, scale, signal.
 
-    Comparisons allow 1e-9 for rounding, so a load exactly on a limit counts.
+    The centre is the median of the earlier loads' values, the scale 1.4826 times
+    their median absolute deviation, at least `floor` of the centre or `floor`.
+    Fewer than `least` earlier loads give no signal. Loads are few; a column's
+    history is one value per load.
     """
-    prof = profile(st)
-    mid = prof.groupBy("column_name").agg(F.median("empty_share").alias("centre"))
-    nulls = prof.join(mid, "column_name").where(F.col("empty_share") - F.col("centre") >= null_step - 1e-9).select(F.lit("null_rate").alias("finding"), "column_name", "load_no")
-    dist = distribution_shift(st, [k.column for k in constraints if k.by_value_distribution]).where(F.col("shift") >= shift - 1e-9).select(F.lit("distribution").alias("finding"), "column_name", "load_no")
-    full = F.col("n_rows") - F.col("n_empty")
-    const = prof.where(F.col("column_name").isin([k.column for k in constraints if k.by_constant]) & (full > 0) & (F.col("n_top") >= constant * full)).select(F.lit("constant").alias("finding"), "column_name", "load_no")
-    return nulls.unionByName(dist).unionByName(const).withColumnRenamed("load_no", "case_key").withColumn("case_key", F.col("case_key").cast("bigint"))
+    w = W.partitionBy("column_name", "metric").orderBy("load_no").rowsBetween(W.unboundedPreceding, -1)
+    middle = lambda a: (F.get(F.array_sort(a), F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(F.array_sort(a), F.floor(F.size(a) / 2).cast("int"))) / 2
+    x = m.withColumn("past", F.collect_list("value").over(w)).where(F.size("past") >= least).withColumn("centre", middle(F.col("past")))
+    x = x.withColumn("spread", F.transform("past", lambda v: F.abs(v - F.col("centre")))).withColumn("scale", F.greatest(1.4826 * middle(F.col("spread")), floor * F.abs("centre"), F.lit(floor)))
+    return x.select("column_name", "load_no", "metric", "value", "centre", "scale", (F.abs(F.col("value") - F.col("centre")) > width * F.col("scale") + 1e-9).alias("signal"))
+
+
+class Store:
+    """States of the loads seen so far: Parquet in a shared folder, a partition per load.
+
+    `refresh` scans only loads that are not stored yet (or are named in `again`,
+    where late rows came) and replaces their partitions, so it may be repeated
+    after a failure. A null load is a load of its own.
+    """
+
+    SCHEMA = "column_name string, value string, n bigint, n_pattern bigint, n_range bigint, load_no int"
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or f"{shared_folder(spark)}/states-{uuid4().hex}"
+        self.known: list[int | None] | None = [] if path is None else None
+
+    def loads(self) -> list[int | None]:
+        if self.known is None:
+            try:
+                self.known = [r.load_no for r in short_list(self.states(merged=False).select("load_no").distinct())]
+            except AnalysisException:  # nothing is stored yet
+                self.known = []
+        return self.known
+
+    def unseen(self, df: DataFrame, load: str = "load_no", again: tuple[int, ...] = ()) -> DataFrame:
+        """The rows of loads that need a scan; the condition reaches the files."""
+        done = [k for k in self.loads() if k not in again]
+        out = ~F.col(load).isin([k for k in done if k is not None]) if any(k is not None for k in done) else F.lit(True)
+        return df.where((F.col(load).isNotNull() & out) | (F.col(load).isNull() if None not in done else F.lit(False))) if done else df
+
+    def refresh(self, df: DataFrame, load: str = "load_no", constraints=REVIEW_CONSTRAINTS, again: tuple[int, ...] = ()) -> Store:
+        st = states(self.unseen(df, load, again), load, constraints).withColumn("load_no", F.col("load_no").cast("int"))
+        st.hint("rebalance", "load_no").write.option("partitionOverwriteMode", "dynamic").partitionBy("load_no").mode("overwrite").parquet(self.path)
+        self.known = None
+        return self
+
+    def states(self, merged: bool = True) -> DataFrame:
+        st = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        return merge(st) if merged else st
+
+
+def sketch_states(df: DataFrame, columns: list[str], load: str = "load_no", lg_k: int = 12, top: int = 16) -> DataFrame:
+    """Mergeable states of bounded size for columns of any kind, a row per load and column.
+
+    Counts, least and greatest value, a sketch of the distinct values, one of the
+    frequent values and one of the lengths.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), filled(F.col(c).cast("string")).alias("value")) for c in columns])
+    v = F.col("c.value")
+    return df.select(F.col(load).alias("load_no"), F.explode(cells).alias("c")).groupBy("load_no", "c.column_name").agg(
+        F.count("*").alias("n_rows"), (F.count("*") - F.count(v)).alias("n_empty"), F.min(v).alias("min_value"), F.max(v).alias("max_value"),
+        F.hll_sketch_agg(v, lg_k).alias("distinct"), F.call_function("approx_top_k_accumulate", v, F.lit(8 * top)).alias("frequent"), F.kll_sketch_agg_bigint(F.length(v).cast("bigint")).alias("lengths"),
+    )
+
+
+def merge_sketches(*parts: DataFrame, by: tuple[str, ...] = ("load_no", "column_name")) -> DataFrame:
+    """Add up sketch states of partitions, loads or runs; `by` without the load gives the column over all loads."""
+    x = reduce(DataFrame.unionByName, parts)
+    return x.groupBy(*by).agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_empty").alias("n_empty"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"),
+        F.hll_union_agg("distinct").alias("distinct"), F.call_function("approx_top_k_combine", F.col("frequent")).alias("frequent"), F.call_function("kll_merge_agg_bigint", F.col("lengths")).alias("lengths"),
+    )
+
+
+def sketch_profile(st: DataFrame) -> DataFrame:
+    """Readable figures of sketch states: distinct values, the most frequent value and lengths are estimates."""
+    some = F.col("n_rows") > F.col("n_empty")
+    length = lambda q: F.when(some, F.kll_sketch_get_quantile_bigint("lengths", F.lit(q)))
+    top = F.when(some, F.get(F.filter(F.call_function("approx_top_k_estimate", F.col("frequent"), F.lit(2)), lambda t: t["item"].isNotNull()), F.lit(0)))
+    return st.select(
+        *[c for c in ("load_no", "column_name") if c in st.columns], "n_rows", "n_empty", (F.col("n_empty") / F.col("n_rows")).alias("empty_share"), "min_value", "max_value",
+        F.hll_sketch_estimate("distinct").alias("n_distinct"), top["item"].alias("top_value"), (top["count"] / (F.col("n_rows") - F.col("n_empty"))).alias("top_share"),
+        length(0.5).alias("median_length"), length(0.95).alias("long_length"),
+    )
 
 
 def findings(df: DataFrame) -> DataFrame:
     """All faulty cells and unusual loads of the review table.
 
-    The states are a few rows per value; they are written once and serve all metrics.
+    The states are a few rows per value; they are stored once and serve all metrics.
     """
-    return cell_findings(df).unionByName(load_findings(cut(states(df))))
+    return cell_findings(df).unionByName(load_findings(Store(df.sparkSession).refresh(df).states()))

@@ -1,6 +1,8 @@
 """Queries of the data quality profile and their SQL twins."""
 
-from reviewloom.common import cut, sql_empty, table
+from pyspark.sql import functions as F
+
+from reviewloom.common import sql_empty, table
 from reviewloom.operators import profile as P
 
 _COLS = ("round", "date_received", "status", "source_file")
@@ -49,20 +51,46 @@ def p2_found(spark, d):
 
 
 def p2_profile(spark, d):
-    from pyspark.sql import functions as F
-
     return P.profile(P.states(_base(spark, d))).drop("n_top").withColumn("empty_share", F.round("empty_share", 6))
 
 
-def p2_control_limits(spark, d):
-    from pyspark.sql import functions as F
+def p2_incremental(spark, d):
+    """The profile after one more load: the newest is scanned alone, the others come from stored states."""
+    df = _base(spark, d)
+    newest = df.agg(F.max("load_no")).first()[0]
+    store = P.Store(spark).refresh(df.where(F.col("load_no") < newest) if newest is not None else df.limit(0))
+    return P.profile(store.refresh(df).states()).drop("n_top").withColumn("empty_share", F.round("empty_share", 6))
+
+
+def p2_history(spark, d):
+    x = P.history(P.metrics(P.Store(spark).refresh(_base(spark, d)).states()))
+    return x.select("column_name", "load_no", "metric", *[F.round(c, 6).alias(c) for c in ("value", "centre", "scale")], "signal")
 
-    x = P.control_limits(P.profile(cut(P.states(_base(spark, d)))))
+
+def p2_table_profile(spark, d):
+    """Every column of the table, ids and texts included, by sketches."""
+    df = table(spark, d, "normalized_output_example")
+    return P.sketch_profile(P.sketch_states(df, [c for c in df.columns if c != "load_no"]))
+
+
+def p2_control_limits(spark, d):
+    x = P.control_limits(P.profile(P.Store(spark).refresh(_base(spark, d)).states()))
     return x.select("load_no", "column_name", F.round("empty_share", 6).alias("empty_share"), F.round("centre", 6).alias("centre"), "signal")
 
 
-QUERIES = {"p2_found": p2_found, "p2_profile": p2_profile, "p2_control_limits": p2_control_limits}
+QUERIES = {"p2_found": p2_found, "p2_profile": p2_profile, "p2_control_limits": p2_control_limits, "p2_incremental": p2_incremental, "p2_history": p2_history, "p2_table_profile": p2_table_profile}
 SQL = {
+    "p2_incremental": f"WITH {_CELLS}, {_PROF} SELECT *, round(n_empty/n_rows, 6) AS empty_share FROM prof",
+    "p2_history": (
+        f"WITH {_CELLS}, {_PROF}, {_SHIFT}, tops AS (SELECT load_no, column_name, max(n) AS n_top FROM (SELECT load_no, column_name, value, count(*) AS n FROM cells WHERE value IS NOT NULL GROUP BY ALL) GROUP BY ALL),"
+        " m AS (SELECT column_name, load_no, 'empty_share' AS metric, n_empty / n_rows AS value FROM prof UNION ALL SELECT column_name, load_no, 'n_distinct', n_distinct FROM prof"
+        " UNION ALL SELECT column_name, load_no, 'fault_share', (n_pattern + n_range) / nullif(n_rows - n_empty, 0) FROM prof UNION ALL SELECT column_name, load_no, 'top_share', n_top / nullif(n_rows - n_empty, 0) FROM prof JOIN tops USING (load_no, column_name)"
+        " UNION ALL SELECT column_name, load_no, 'shift', shift FROM shift),"
+        " h AS (SELECT *, list(value) OVER (PARTITION BY column_name, metric ORDER BY load_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM m WHERE value IS NOT NULL),"
+        " c AS (SELECT *, list_aggregate(past, 'median') AS centre FROM h WHERE len(past) >= 3),"
+        " s AS (SELECT *, greatest(1.4826 * list_aggregate(list_transform(past, lambda x: abs(x - centre)), 'median'), 0.02 * abs(centre), 0.02) AS scale FROM c)"
+        " SELECT column_name, load_no, metric, round(value, 6) AS value, round(centre, 6) AS centre, round(scale, 6) AS scale, abs(value - centre) > 6 * scale + 1e-9 AS signal FROM s"
+    ),
     "p2_found": FOUND_SQL,
     "p2_profile": f"WITH {_CELLS}, {_PROF} SELECT *, round(n_empty/n_rows, 6) AS empty_share FROM prof",
     "p2_control_limits": f"WITH {_CELLS}, {_PROF}, r AS (SELECT load_no, column_name, n_empty/n_rows AS e, median(n_empty/n_rows) OVER (PARTITION BY column_name) AS c FROM prof),"
