@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewloom.common import cut, spread, table
+from reviewloom.common import cut, spread, sql_empty, table
 from reviewloom.llm import canonical, mixing, packing, pii, repetition, variants
 from reviewloom.llm.tokens import token_count
 
@@ -43,6 +43,15 @@ def p5_found(spark, d):
     return _mapped(spark, d).select("field_name", "raw_value", "canonical_value")
 
 
+def p5_join(spark, d):
+    """The set-similarity join by itself: lower-case values and the list's names of a field whose letter pairs are half alike."""
+    rows = table(spark, d, "normalized_output_example").select("agency", "status", "comment_type")
+    low = lambda df, c: df.select("field_name", F.lower(c).alias("s")).where(F.col("s").rlike("^[ -~]+$"))
+    probe = low(canonical.review_values(rows), "raw_value").withColumnRenamed("s", "p")
+    index = low(table(spark, d, "canonical_values").where("canonical_value is not null and field_name is not null"), "canonical_value").withColumnRenamed("s", "r")
+    return canonical.set_join(probe, index, "field_name").withColumn("similarity", F.round("similarity", 6))
+
+
 def p5_unmatched(spark, d):
     return _mapped(spark, d).where("canonical_value = 'UNMATCHED'").select("field_name", "raw_value")
 
@@ -102,7 +111,7 @@ def p8_repetition(spark, d):
     return x.withColumn("failed_rules", F.array_join("failed_rules", ","))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_entities, p5_found, p5_unmatched, p6_containers, p6_usage, p6_checks, p7_mixture, p7_shares, p7_checks, p8_found, p8_repetition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_entities, p5_found, p5_join, p5_unmatched, p6_containers, p6_usage, p6_checks, p7_mixture, p7_shares, p7_checks, p8_found, p8_repetition)}
 # Words, runs of six and of three, the first place of each, and words within six of a later one.
 _WORDS = (
     r"t AS (SELECT doc_id, {extra} regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '\p{{Nd}}+(?:[.,:/\-]\p{{Nd}}+)*', '0', 'g'), '[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*') AS w FROM documents),"
@@ -114,7 +123,16 @@ _WORDS = (
 _STRIP = r"list_filter(list_transform(string_split(coalesce(text, ''), {by}), lambda x: regexp_replace(x, '^[\s\v\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+|[\s\v\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+$', '', 'g')), lambda x: x <> '')"
 _LENGTHS = "coalesce(list_sum(list_transform({x}, lambda x: length(x))), 0)"
 _TWICE = "CASE WHEN len({x}) < 2 THEN 0 ELSE 1 - " + _LENGTHS.format(x="list_distinct({x})") + " / " + _LENGTHS + " END"
+_SET = "list_distinct(list_transform(generate_series(1, len({x}) + 1), lambda i: substr('^' || {x} || '$', i, 2)))"
 SQL: dict[str, str] = {
+    # All pairs of a field.
+    "p5_join": (
+        "WITH v AS (" + " UNION ".join(f"SELECT '{c}' AS field_name, lower({c}) AS p FROM normalized_output_example WHERE NOT {sql_empty(c)} AND regexp_full_match({c}, '[ -~]+')" for c in ("agency", "status", "comment_type")) + "),"
+        " c AS (SELECT DISTINCT field_name, lower(canonical_value) AS r FROM canonical_values WHERE regexp_full_match(canonical_value, '[ -~]+')),"
+        f" a AS (SELECT field_name, p, {_SET.format(x='p')} AS ps FROM v), b AS (SELECT field_name, r, {_SET.format(x='r')} AS rs FROM c),"
+        " j AS (SELECT field_name, p, r, len(list_intersect(ps, rs)) AS n, len(ps) AS np, len(rs) AS nr FROM a JOIN b USING (field_name))"
+        " SELECT field_name, p, r, round(n / (np + nr - n), 6) AS similarity FROM j WHERE n >= 0.5 * (np + nr - n)"
+    ),
     "p8_found": f"WITH {_WORDS.format(extra='')} SELECT doc_id FROM c GROUP BY doc_id HAVING avg(twice) >= 0.3 - 1e-9",
     "p6_checks": "SELECT spec_name, n AS documents, 0 AS incomplete, 0 AS split_in_vain, 0 AS overfull FROM container_specs, (SELECT count(*) AS n FROM documents) WHERE capacity_tokens > 0",
     "p7_checks": "SELECT source, count(*) AS documents, 0 AS over_used, 0 AS out_of_window FROM documents JOIN mixture_targets USING (source) WHERE text <> '' AND target_share > 0 AND max_repeats > 0 GROUP BY 1",
