@@ -11,9 +11,17 @@ class Boost:
     def __init__(self, trees: int = 50, depth: int = 4, rate: float = 0.25, bins: int = 16, least: float = 1.0):
         self.trees, self.depth, self.rate, self.bins, self.least = trees, depth, rate, bins, least
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boost:
+    def fit(self, x: np.ndarray, y: np.ndarray, held: np.ndarray | None = None) -> Boost:
+        """held marks the rows for calibration and threshold, by default every fifth; then the trees are grown again on all rows."""
+        held = np.arange(len(x)) % 5 == 0 if held is None else held
+        self._grow(x, y, held)
+        self.a, self.b = self._platt(self.raw(x[held]), y[held])
+        self.threshold = self._best(self.prob(x[held]), y[held])
+        self._grow(x, y, np.zeros(len(x), dtype=bool))
+        return self
+
+    def _grow(self, x: np.ndarray, y: np.ndarray, held: np.ndarray) -> None:
         n, k = x.shape
-        held = np.arange(n) % 5 == 0
         self.cuts = [self._cuts(x[~held, f]) for f in range(k)]
         b = np.stack([np.searchsorted(self.cuts[f], x[:, f], side="left") for f in range(k)], axis=1)
         width, size = self.bins + 1, 2**self.depth - 1
@@ -55,9 +63,6 @@ class Boost:
             sg, sh = np.bincount(leaf, g, size + 1), np.bincount(leaf, h, size + 1)
             self.leaf[t] = self.rate * sg / (sh + self.least)
             score += self.leaf[t][leaf]
-        self.a, self.b = self._platt(self.raw(x[held]), y[held])
-        self.threshold = self._best(self.prob(x[held]), y[held])
-        return self
 
     def _cuts(self, v: np.ndarray) -> np.ndarray:
         u = np.unique(v)
@@ -68,7 +73,7 @@ class Boost:
     def _platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         a, b = 1.0, 0.0
         for _ in range(50):
-            p = 1 / (1 + np.exp(-(a * s + b)))
+            p = 1 / (1 + np.exp(-np.clip(a * s + b, -50, 50)))
             w = p * (1 - p) + 1e-9
             ga, gb = ((y - p) * s).sum() - 0.01 * (a - 1), (y - p).sum() - 0.01 * b
             haa, hab, hbb = (w * s * s).sum() + 0.01, (w * s).sum(), w.sum() + 0.01
@@ -93,4 +98,4 @@ class Boost:
         return score
 
     def prob(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.a * self.raw(x) + self.b)))
+        return 1 / (1 + np.exp(-np.clip(self.a * self.raw(x) + self.b, -50, 50)))

@@ -1,104 +1,128 @@
 """Labelled texts for the trees: mentions set into sentences, and look-alikes beside them.
 
-Names come from the lexicon (with made-up family names of its beginnings and
-endings), everything else is composed. `{N}` a person, `{E}` an e-mail, `{P}` a
-phone, `{I}` an identity number, `{A}` an address are marked; `{g}`, `{f}` are
-names that stand for places, firms or methods and `{d...}` numbers of things.
+Most names come from the lexicon (with made-up family names of its beginnings
+and endings), a quarter from syllables of several origins, so that the trees cannot
+lean on lists alone; everything else is composed. `{N}` a person, `{E}` an
+e-mail, `{P}` a phone, `{I}` an identity number, `{A}` an address are marked;
+`{g}`, `{f}` are names that stand for places, firms or methods, `{B}` a body or an
+office, and `{d...}` numbers of things.
+
+Every fifth sentence and two origins are held out: texts of the part "held" are
+made of these alone, and calibration and thresholds rest on them.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from zlib import crc32
 
 from reviewloom.llm import names as N
 
 # Sentences with mentions.
 WITH = """Attn {N}|{A}|{E}
+To {N}|{A}|mailto:{E}
+Care of {N}|{A}|{P}
 Regards,|{N}
 Signed, {N}.
-(submitted by {N})
+(sent in by {N})
 (call {P})
 Thanks, {N} / {P}
-contact {N} - {E} - {P}
+Reach {N} - {E} - {P}
 {N} - {E} - {P}
 Please direct questions to {N} at {E}.
-{N} asked that replies go to {E}, not by post.
+{N} asked for a copy at {E} and not on paper.
 {N} wrote that the table is wrong.
 As {N} pointed out in the workshop, the culvert is small.
 This was seen by June, according to {N}.
 The level fell in {d4}, according to {N}.
-Meeting chaired by {N}; minutes by {N}.
-The trapper, {N}, lives at {A}.
-We spoke with {N} and with {N} about dust.
-Cheque payable to {N}.
-Permit holder {N}, {I}, requests notice.
+In the chair was {N}, notes by {N}.
+Our warden, {N}, lives at {A}.
+I talked with {N} and with {N} on Monday.
+The refund goes to {N}.
+The holder {N}, {I}, wants to be told first.
 On behalf of {N}, see section 4.
-Our family ({N} and {N}) farms nearby.
-({N}, pers. comm.)
+My parents ({N} and {N}) keep bees there.
+({N}, personal note)
 It is silent on Pine Lake ({N}, pers. comm.).
 The road is wet ({N}, pers. comm.).
-Witness: {N}; {I}; {A}.
+Seen and heard: {N}; {I}; {A}.
 {N}: The record shows no change.
 {N} of {A} holds that the limit is low.
-{N} ({P}) will attend the site visit.
-{N} and {N} dissenting.
+{N} ({P}) will be at the gate.
+{N} and {N} against.
 {N} & {N} dissenting.
-per {N}'s field book the weir leaked.
+per {N}'s diary the spring dried up.
 per {N}'s notes the road is wet.
 Attn {N}|{A}
 The slope was photographed by {N} from {A}.
-An earlier draft listed {I} beside {N}.
+A carbon copy shows {I} next to {N}.
 It matches the claim form of {N} with {I}.
-Lettre de {N}, {A}.
-Veuillez joindre {N} au {P}.
+Une note de {N}, {A}.
+On peut joindre {N} au {P}.
 My home at {A} is downstream.
-Notices may be mailed to {A}.
-The landowner gave {P} and {A} as contact details.
-Water samples can be collected from {A}; phone {P}.
+Letters reach us at {A}.
+The owner left {P} and {A} at the desk.
+The sampler stands behind {A}; phone {P}.
 See the house at {A}.
-reviewer reachable on {P} or at {A}.
+I can be found on {P} or at {A}.
 The licence file is open, call {P} or {P}.
-After hours ring {P} or {P}.
-Call {P} before entering the site.
+At night dial {P} or {P}.
+Call {P} when you get to the barrier.
 Tel. {P}
 Reply-to: {E}
 From: {E}|To: {E}
 cc {E}; {E}
-{E} bounced, so we tried {P}.
-Send the raw data to {E} by Friday.
-see the copy sent to {E}.
+cc {N}, {N}
+Hello, this is {N}.
+Ring {P} or ask {N} there.
+As {E} was down we used {P}.
+Mail the spreadsheet to {E} before noon.
+the same file went to {E}.
 mailto:{E}
 <{E}>
-ID on file: {I}
-The form left {I} in plain sight.
+Proof of identity: {I}
+Anyone could read {I} there.
 The value changed before blasting [{I}].
 The value changed - {N}
 Dear {N}, the letter is enclosed.
-The neighbour {N} objects."""
+The neighbour {N} objects.
+I am {N} and I run the store.
+My name is {N}.
+Kindly forward this to {N}.
+Contact {N} about the keys
+Sincerely, {N}
+Yours truly,|{N}
+We heard from {N} twice.
+Please ask {N} for the second sheet.
+It was carried by {N}.
+The form is for {N} only.
+Attention: {N}
+Prepared for {N} by {N}.
+I gave them my number, {I}, by mistake.
+She wrote: my {I}."""
 # Sentences without any.
-WITHOUT = """Samples from Mount {g} and the {f} Formation differ.
-{f} {place} was gauged in spring.
-{g} {place} drains 3010 ha.
-The {f} method was used for peak flows.
+WITHOUT = """Rocks taken at Mount {g} are unlike those of the {f} Group.
+{f} {place} froze early this winter.
+The {f} equation overstates runoff here.
 The {f} test and the {f} index agree.
-The {g} zone hosts most of the ore.
+Most metal sits in the {g} lode.
 The {g} vein dips west.
-{f} Consulting prepared appendix A.
-{f} & Sons Surveying prepared appendix C.
-{f} Drilling Co. prepared appendix F.
-{f} Engineering Ltd. prepared appendix G.
-{f} Laboratories prepared appendix B.
+{f} Consultants signed the cover sheet.
+{f} & Partners Surveying drew the map.
+{f} Contracting Co. built the berm.
+{f} Mining Ltd. holds the claim.
+{f} Analytics ran the assays.
 Results from {f} Laboratories are late.
-Purchase order {d3}-{d3}-{d4} covers the liner.
-Water licence C{d6} and permit {d4}-{d3} apply.
-Collar at {d6} E, {d7} N.
+Purchase order {d3}-{d3}-{d4} is for pipe.
+The water licence W{d6} and permit {d4}-{d3} lapse in May.
+Drilled at {d6} E, {d7} N.
 Logger K{d7} failed in May.
 Logger {d7} and invoice {d8} were swapped.
-Pump P-{d3}@{d2} and valve V-{d4} were swapped.
+Use pump P-{d3}@{d2} or valve V-{d4}.
 Pumping ran @ {d4} kPa near the weir.
-Photo IMG_{d4} shows {d2} haul road culverts in spring.
-Sheet {d2} shows the Larch Road crossing and {d1} culverts on Haul Road {d2}.
+IMG_{d4} is a view of {d2} culverts.
+Sheet {d2} has the Fern Road bridge and {d1} gates on Haul Road {d2}.
 Km {d2} of the access road is wet.
 Section {d1}.{d1} and table {d2} differ from 2015-2019 values.
 {d2} access road crossings and {d1} service road gates were mapped.
@@ -107,14 +131,30 @@ We note that the water licence is illegible.
 The value at HP-22 now reads {d4} mg/L. Table {d1} is blank.
 {f} Laboratories prepared appendix D. Figure {d1} is blank.
 Our members near {place2} see this as a risk.
-Core boxes {d3} {d3} {d3} were relogged.
+Core boxes {d3} {d3} {d3} are missing.
 Core boxes {d3}-{d3} were moved.
-Model build {d1}.{d1}.{d3}.{d4} was used.
+Version {d1}.{d1}.{d3}.{d4} of the model is older.
 Software version {d2}.{d2}.{d4} was used.
 Tender {d4}-{d6} closes in June.
 See Table {d2}, Figure {d2} and Section {d1}.
 Records {d4} {d4} {d4} were filed.
-Will the model be rerun in May or in April?"""
+Will the model be rerun in May or in April?
+Contact the {B} for a map.
+Hello, this is the {B}.
+cc {B}, {B}
+Contact {B} for a map.
+Please ask {B} for the second sheet.
+Sincerely, {B}
+Dear {B}, the letter is enclosed.
+We heard from {B} twice.
+It was carried by {B}.
+Kindly forward this to {B}.
+The form is for {B} only.
+Attention: {B}
+I am Canadian and I am Head of Planning.
+It came with Table {d1} and with Appendix B.
+A survey by {place2} was late.
+The road from {place2} to Fort {f} is open by Friday."""
 FILL = """The sampling plan is unclear.
 Why does the flow change in spring?
 Please clarify the liner thickness.
@@ -122,14 +162,37 @@ Below the weir, field notes differ.
 On review, the figure was redrawn.
 Noted, the table will follow by courier.
 It is agreed that the survey is late."""
+# Syllables of given and family names by origin, and words between them; the last two origins are held out.
+ORIGINS = (
+    ("olu wa se un ade ba yo to ke fe mi tun de", "ade bayo oko ola dele oye tunji ogun leye", ""),
+    ("xiao ling wei jun mei hua yan qing lan", "zhang wang chen liu zhao sun", ""),
+    ("pra deep ven kat lak shmi nara yan ku mar", "swamy raman krishna murthy reddy iyer subra", "kumar"),
+    ("björ guð rún sig thór ást hild", "jóns einars guð munds dóttir son", ""),
+    ("ma ría jo sé car men lu cía al ba", "gar cía fer nán dez or tega mo reno", "de la|de|del"),
+    ("fa ti ma ha san yu suf lay la ka rim", "rah man has san nas ser fa rouk", "al|bin"),
+    ("thi minh hoa lan anh duc tuan", "nguyen tran pham vo dang", "thi|van"),
+    ("mi lo sla va zo fia ta deu iri na", "kow alski nov otny pet renko iva nova", ""),
+)
 PLACES = "Lake Slough Creek Ridge Bluff Valley Gulch Canyon Flats Narrows Plateau Bench".split()
 STREET = "Street St Ave Avenue Road Rd Rd. Drive Dr. Lane Blvd Crescent Trail Way".split()
 _HOLE = re.compile(r"\{(\w+)\}")
 
 
+# Bodies and offices that stand where a person could.
+BODIES = "Water|Planning|Lands|Permit|Records|Harbour|Wildlife|Heritage".split("|")
+OFFICES = "Office|Branch|Desk|Department|Board|Committee|Council|Team|Division|Registry".split("|")
+
+
+def _part(forms: str, part: str) -> list[str]:
+    """The sentences of a part: about every fifth is held out, whatever stands beside it."""
+    return [f for f in forms.split("\n") if part == "both" or (crc32(f.encode()) % 5 == 0) == (part == "held")]
+
+
 class _Maker:
-    def __init__(self, lex, seed: int):
+    def __init__(self, lex, seed: int, part: str = "both", foreign: float = 0.25):
+        self.share = foreign
         self.r = random.Random(seed)
+        self.origins = {"train": ORIGINS[:-2], "held": ORIGINS[-2:], "both": ORIGINS}[part]
         self.given = sorted(lex.given) or ["maria", "peter"]
         self.family = sorted(lex.family) or ["example", "sampleton"]
         self.heads, self.tails = sorted(lex.heads), sorted(lex.tails)
@@ -148,8 +211,27 @@ class _Maker:
     def giv(self) -> str:
         return "-".join(p.title() for p in self.r.choice(self.given).split("-"))
 
+    def foreign(self) -> str:
+        """A name of syllables, of one to four words."""
+        r = self.r
+        given, family, between = (x.split("|") if "|" in x else x.split() for x in r.choice(self.origins))
+        word = lambda parts, k: "".join(r.choice(parts) for _ in range(k)).title()
+        g, f = word(given, r.randint(2, 3)), word(family, r.randint(1, 3))
+        mid = r.choice([*between, word(given, 2)]) if r.random() < 0.3 and between else ""
+        mid = mid if mid in ("de la", "de", "del", "al", "bin", "van") else mid.title()
+        s = r.choice([f"{g} {f}"] * 4 + [g, g, g, f"{g} {word(given, 2)} {f}", f"{f} {g}", f"{g[0]}. {f}", f"{g} {f}-{word(family, 2)}"])
+        if mid and s == f"{g} {f}":
+            s = f"{g} {mid} {f}"
+        return f"{r.choice(['Mr', 'Ms.', 'Dr.', 'Prof.'])} {s}" if r.random() < 0.1 else s
+
+    def body(self) -> str:
+        r = self.r
+        return r.choice([f"{r.choice(BODIES)} {r.choice(OFFICES)}", f"{r.choice(OFFICES)} of {r.choice(BODIES)}", f"{self.place()} {r.choice(OFFICES)}", f"{self.place()} {r.choice(BODIES)} {r.choice(OFFICES)}", f"{self.fam()} {r.choice(['Ltd.', 'Inc.', 'Consulting', 'Drilling', 'Group'])}"])
+
     def person(self) -> str:
         r = self.r
+        if r.random() < self.share:
+            return self.foreign()
         g, f = self.giv(), self.fam()
         if r.random() < 0.08:
             f = f"{f}-{self.fam()}"
@@ -189,6 +271,7 @@ class _Maker:
         return r.choice([
             f"passport no. Z{r.choice('QX')}{d(6)}", f"passport ZX {d(3)} {d(3)}", f"passport {r.choice('ABCG')}{r.choice('ABX')}{d(6)}", f"SIN {d(3)} {d(3)} {d(3)}", f"S.I.N. {d(3)}-{d(3)}-{d(3)}", f"social insurance number {d(9)}",
             f"driver's licence {d(7)}", f"driver’s licence no. {d(7)}", f"health card {d(4)} {d(3)} {d(3)}", f"status card no. {d(10)}", f"birth certificate {d(4)}-{d(6)}", f"health number {d(10)}", f"permis de conduire {d(7)}", f"DL# {d(4)}-{d(3)}", f"DL {d(7)}",
+            f"SSN {d(3)}-{d(2)}-{d(4)}", f"SSN is {d(3)}-{d(2)}-{d(4)}", f"social security number {d(3)}-{d(2)}-{d(4)}", f"SSN: {d(9)}", f"SSN {d(3)} {d(2)} {d(4)}",
         ])
 
     def address(self) -> str:
@@ -197,7 +280,7 @@ class _Maker:
         code = f" {r.choice('ABXZ')}{self.digits(1)}{r.choice('ABCE')} {self.digits(1)}{r.choice('XYZ')}{self.digits(1)}"
         street = f"{self.place()} {r.choice(STREET)}"
         s = r.choice([f"{self.digits(r.randint(2, 4))} {street}"] * 4 + [
-            f"Unit {r.randint(1, 40)}, {self.digits(4)} {street}", f"{r.randint(1, 40)}-{self.digits(4)} {street}", f"{self.digits(4)}, rue des {self.place()}s",
+            *[f"Unit {r.randint(1, 40)}, {self.digits(r.randint(3, 4))} {street}"] * 2, f"{r.randint(1, 40)}-{self.digits(4)} {street}", f"{self.digits(4)}, rue des {self.place()}s",
             f"PO Box {self.digits(4)}", f"P.O. Box {self.digits(3)}", f"RR {r.randint(1, 9)}, Site {r.randint(1, 30)}, Comp {r.randint(1, 60)}", f"RR {r.randint(1, 9)}",
         ])
         if r.random() < 0.06:
@@ -212,7 +295,7 @@ class _Maker:
             return f(), kind
         if name[0] == "d":
             return self.digits(int(name[1:])), None
-        return {"g": self.giv, "f": self.fam, "place": lambda: self.r.choice(PLACES), "place2": lambda: f"{self.place()} {self.r.choice(PLACES)}"}[name](), None
+        return {"g": self.giv, "f": self.fam, "B": self.body, "place": lambda: self.r.choice(PLACES), "place2": lambda: f"{self.place()} {self.r.choice(PLACES)}"}[name](), None
 
     def sentence(self, form: str) -> tuple[str, list[tuple[int, int, str]]]:
         out, marks, at = "", [], 0
@@ -227,11 +310,11 @@ class _Maker:
         return out + form[at:], marks
 
 
-def composed(lex, sample: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """`sample` texts of one to four sentences with the spans of their mentions."""
-    mk = _Maker(lex, seed)
+def composed(lex, sample: int, seed: int = 11, part: str = "both", foreign: float = 0.25) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """`sample` texts of one to four sentences with the spans of their mentions; of the training part, the held-out part or both; `foreign` is the share of names of syllables."""
+    mk = _Maker(lex, seed, part, foreign)
     r, out = mk.r, []
-    kinds = [(WITH.split("\n"), 5), (WITHOUT.split("\n"), 4), (FILL.split("\n"), 3)]
+    kinds = [(_part(WITH, part), 5), (_part(WITHOUT, part), 4), (FILL.split("\n"), 3)]
     forms, weights = [k for k, _ in kinds], [w for _, w in kinds]
     for _ in range(sample):
         text, marks = "", []

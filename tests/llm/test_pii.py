@@ -19,7 +19,7 @@ def kinds(f, t):
 
 def test_held_out_accuracy(found):
     """Texts composed with another seed: precision and recall of mentions per type."""
-    texts = composed(found.lex, 1500, seed=77)
+    texts = composed(found.lex, 1500, seed=77, foreign=0)
     for kind in pii.TYPES:
         hit = got = true = 0
         for (_, marks), spans in zip(texts, found.spans([t for t, _ in texts])):
@@ -84,3 +84,70 @@ def test_lexicon_keeps_every_name(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], S)
     assert pii.mentions(df).count() == 0 and pii.redact(df).count() == 0
+
+
+def marked():
+    """The independent texts without their marks, and the marks' spans."""
+    import re
+
+    from independent import TEXTS
+
+    out = []
+    for line in TEXTS.split("\n"):
+        line = line.replace("|", "\n")
+        text, marks, at = "", [], 0
+        for m in re.finditer(r"\[(name|email|phone|address|id_number) ([^\]]+)\]", line):
+            text += line[at : m.start()]
+            marks.append((len(text), len(text) + len(m[2]), m[1]))
+            text, at = text + m[2], m.end()
+        out.append((text + line[at:], marks))
+    return out
+
+
+def scores(found):
+    """(right, found, true) over the independent texts; a mention is right if type and most of the span agree."""
+    hit = got = true = 0
+    misses = []
+    for (t, marks), spans in zip(marked(), found.spans([t for t, _ in marked()])):
+        right = [m for m in marks if any(k == m[2] and min(b, m[1]) - max(a, m[0]) >= 0.6 * (m[1] - m[0]) for a, b, k, _ in spans)]
+        hit, got, true = hit + len(right), got + len(spans), true + len(marks)
+        if len(right) < max(len(marks), len(spans)):
+            misses.append((t, [(k, t[a:b]) for a, b, k, _ in spans]))
+    return hit, got, true, misses
+
+
+def test_independent_texts(found):
+    """Names of no list, of other origins, in sentences that no training text has."""
+    hit, got, true, misses = scores(found)
+    assert hit / true >= 0.8 and hit / got >= 0.95, misses
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Please forward to Nguyen Thi Hoa", "Nguyen Thi Hoa"), ("I am Oluwaseun Adebayo", "Oluwaseun Adebayo"), ("My name is Björk Guðmundsdóttir", "Björk Guðmundsdóttir"),
+    ("Contact Xiaoling", "Xiaoling"), ("Sincerely, Pradeep Kumar Venkataraman", "Pradeep Kumar Venkataraman"), ("SSN 123-45-6789", "123-45-6789"), ("my SSN is 078-05-1120", "078-05-1120"),
+])
+def test_names_of_no_list(found, text, want):
+    assert [s for _, s in kinds(found, text)] == [want]
+
+
+def test_no_training_sentence_is_in_the_tables(spark):
+    """Sentences of twelve fixed characters and more, holes aside."""
+    import re
+
+    from reviewloom.llm import training
+
+    rows = table(spark, "/root/testdata/sf0.01", "normalized_output_example").select("comment_text", "response_text").toPandas()
+    texts = "\n\n".join(re.sub(r"\s+", " ", t) for c in rows for t in rows[c].dropna())
+    for form in (training.WITH + "\n" + training.WITHOUT + "\n" + training.FILL).split("\n"):
+        parts = re.split(r"\{\w+\}", form.replace("|", " "))
+        if sum(map(len, parts)) >= 12:
+            assert not re.search(".{1,60}?".join(map(re.escape, parts)), texts), form
+
+
+def test_model_is_fitted_once_and_saved(spark, found, tmp_path):
+    rows = table(spark, "/root/testdata/sf0.01", "normalized_output_example")
+    assert pii.finder(rows) is pii.finder(rows)
+    pii.save(found, spark, (tmp_path / "m").as_uri())
+    again = pii.load(spark, (tmp_path / "m").as_uri())
+    texts = [t for t, _ in marked()]
+    assert again.spans(texts) == found.spans(texts)
