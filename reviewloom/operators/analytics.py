@@ -19,11 +19,16 @@ from reviewloom.functions import rules as R
 RT = "response_days"
 
 
-def review(rows: DataFrame) -> DataFrame:
-    """The typed view of normalized rows."""
+def review(rows: DataFrame, existing: str = "response_time_days") -> DataFrame:
+    """The typed view of normalized rows.
+
+    Response times are whole days between the dates; a number in the column
+    `existing`, where the rows have one, is preferred (C18).
+    """
     text = ("project", "agency", "author", "status", "comment_type", "comment_id", "section", "topic", "comment_text", "response_text")
-    x = rows.select("rec_id", *[filled(F.col(c)).alias(c) for c in text], R.to_number(F.col("round")).alias("round"), *[R.to_date(F.col(c)).alias(c) for c in ("date_received", "date_responded")])
-    return x.withColumn(RT, F.datediff("date_responded", "date_received").cast("double")).withColumn("round_group", R.round_group(F.col("round")))
+    x = rows.select("rec_id", *[filled(F.col(c)).alias(c) for c in text], R.to_number(F.col("round")).alias("round"), *[R.to_date(F.col(c)).alias(c) for c in ("date_received", "date_responded")], *([F.col(existing).cast("string").alias("existing")] if existing in rows.columns else []))
+    known = R.to_number(F.col("existing")) if "existing" in x.columns else None
+    return x.withColumn(RT, R.whole_days(F.col("date_received"), F.col("date_responded"), known)).drop("existing").withColumn("round_group", R.round_group(F.col("round")))
 
 
 def top(df: DataFrame, key: str, n: int, count: str = "n") -> DataFrame:
@@ -106,8 +111,8 @@ def project_report(r: DataFrame) -> DataFrame:
 
 
 def sane(r: DataFrame, most: float = 5000) -> DataFrame:
-    """F8: answered rows with a response time of 0 to `most` days."""
-    return r.where(F.col("response_text").isNotNull() & F.col(RT).between(0, most))
+    """F8: answered rows, which have a day of the answer, with a response time of 0 to `most` days."""
+    return r.where(F.col("date_responded").isNotNull() & F.col(RT).between(0, most))
 
 
 def quality(r: DataFrame) -> DataFrame:

@@ -81,10 +81,17 @@ def voting_summary(v: DataFrame) -> DataFrame:
     return v.agg(n.alias("pairs"), u.alias("unanimous"), two.alias("at_least_two"), split.alias("split"), pct(u).alias("pct_unanimous"), pct(two).alias("pct_two"))
 
 
+# Propagated columns, where they come from, and the text on rows that were not judged.
+PROPAGATED = {"prompt": ("prompt", "Not generated (filtered out)"), "raw_output": ("raw_output", "Not processed (filtered out)"), "processed_output": ("output", "Unknown")}
+
+
 def propagate(pairs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The unique pairs' answers on all rows; unjudged ones say so."""
-    j = judged.select("source_column", "target_column", "processed_output")
-    return pairs.join(j, ["source_column", "target_column"], "left").withColumn("processed_output", F.coalesce("processed_output", F.lit("Unknown")))
+    """The unique pairs' prompts, raw and processed outputs and vote on all rows; unjudged ones say so."""
+    key = ["source_column", "target_column"]
+    each = {f"{new}_{i}": (f"{old}_{i}", text) for new, (old, text) in PROPAGATED.items() for i in (1, 2, 3)} | {"processed_output": ("processed_output", "Unknown")}
+    j = judged.select(*key, *[(F.col(old) if old in judged.columns else F.lit(None).cast("string")).alias(f"_{new}") for new, (old, _) in each.items()])
+    x = pairs.drop("similarity_score", *each).join(j, key, "left")
+    return x.withColumns({new: F.coalesce(f"_{new}", F.lit(text)) for new, (_, text) in each.items()}).drop(*[f"_{new}" for new in each])
 
 
 def filter_summary(pairs: DataFrame, kept: DataFrame) -> DataFrame:

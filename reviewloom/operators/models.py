@@ -13,6 +13,7 @@ import math
 import re
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,10 @@ REASONED, DIRECT = "Explain first, then give Yes or No alone on the last line.",
 DESCRIBE_TEMPLATE = "Describe the database column {name} of a review tracker in one sentence of at most 25 words.\n{context}\nThis column"
 
 
+# Fixed value: an instruction that describers repeat; it is taken off their answers.
+ECHO = "Complete this exactly: This column"
+
+
 def match_prompt(reasoned: bool = True, with_samples: bool = True, template: str = MATCH_TEMPLATE) -> Column:
     """The question about a pair; the template may be replaced."""
     s = R.sample_text([F.col(f"sample_{i}") for i in (1, 2, 3)])
@@ -94,24 +99,74 @@ def name_describer() -> Texts:
     return describe
 
 
-def http_generator(url: str, model: str, tokens: int = 50, context: int = 2048, temperature: float = 0.1, stop: tuple[str, ...] = ("\n",), timeout: float = 60, failed: str = "") -> Callable[[], Texts]:
-    """A generation server's /api/generate; an error or empty answer gives `failed`."""
+def http_generator(url: str, model: str, tokens: int = 50, context: int = 2048, temperature: float = 0.1, stop: tuple[str, ...] = ("\n",), timeout: float = 60, failed: str = "", retries: int = 1, at_once: int = 4) -> Callable[[], Texts]:
+    """A generation server's /api/generate; `retries` errors or empty answers give `failed`.
+
+    A worker has `at_once` requests of a batch under way.
+    """
 
     def make() -> Texts:
         def ask(prompt: str) -> str:
             body = {"model": model, "prompt": prompt, "stream": False, "options": {"temperature": temperature, "num_ctx": context, "num_predict": tokens, "stop": list(stop)}}
-            try:
-                request = urllib.request.Request(f"{url}/api/generate", json.dumps(body).encode(), {"Content-Type": "application/json"})
-                with urllib.request.urlopen(request, timeout=timeout) as r:
-                    return json.load(r).get("response", "").strip() or failed
-            except (OSError, ValueError):
-                return failed
+            for _ in range(retries):
+                try:
+                    request = urllib.request.Request(f"{url}/api/generate", json.dumps(body).encode(), {"Content-Type": "application/json"})
+                    with urllib.request.urlopen(request, timeout=timeout) as r:
+                        if text := json.load(r).get("response", "").strip():
+                            return text
+                except (OSError, ValueError):
+                    continue
+            return failed
+
+        def ask_all(prompts: list[str]) -> list[str]:
+            with ThreadPoolExecutor(at_once) as pool:
+                return list(pool.map(ask, prompts))
+
+        return ask_all
+
+    return make
+
+
+def local_judge(model: str, tokens: int = 150) -> Callable[[], Texts]:
+    """A local language model, if the packages for it are installed; greedy, a batch at a time."""
+
+    def make() -> Texts:
+        from transformers import pipeline  # an optional package
 
-        return lambda prompts: [ask(p) for p in prompts]
+        run = pipeline("text-generation", model=model, return_full_text=False)
+        return lambda prompts: [r[0]["generated_text"] for r in run(prompts, max_new_tokens=tokens, do_sample=False)]
 
     return make
 
 
+def local_embedder(model: str) -> Callable[[], Vectors]:
+    """A local embedding model, if the packages for it are installed."""
+
+    def make() -> Vectors:
+        from sentence_transformers import SentenceTransformer  # an optional package
+
+        m = SentenceTransformer(model)
+        return lambda texts: m.encode(texts, batch_size=256).tolist()
+
+    return make
+
+
+def plug_ins(model: str = "offline", server: str = "", embedding: str = "offline", reasoned: bool = False) -> tuple:
+    """(embedder, judge, describer) by settings: stand-ins, a generation server, or local models.
+
+    A server that does not answer is an error before the job starts.
+    """
+    embedder = hash_embedder if embedding == "offline" else local_embedder(embedding)
+    tokens = 150 if reasoned else 5
+    if model == "offline":
+        return embedder, keyword_judge, name_describer
+    if server:
+        if not server_ready(server):
+            raise ConnectionError(f"no generation server answers at {server}")
+        return embedder, http_generator(server, model, tokens=tokens, stop=()), http_generator(server, model)
+    return embedder, local_judge(model, tokens), local_judge(model, 50)
+
+
 def server_ready(url: str, timeout: float = 5) -> bool:
     """Whether a generation server answers /api/tags."""
     try:
@@ -151,9 +206,9 @@ def describe(pairs: DataFrame, make: Callable[[], Texts], variants: int = 3) ->
     cols = [F.col(c) for c in pairs.columns if c.startswith("sample_")]
     src = keyed.select("source_column", "samples_key", R.sample_text(cols).alias("s")).distinct()
     prompt = describe_prompt(F.col("source_column"), F.nullif("s", F.lit("")))
-    src = src.select("source_column", "samples_key", *[generate(F.concat(prompt, F.lit(" " * i)), make).alias(f"source_description_{i + 1}") for i in range(variants)])
+    src = src.select("source_column", "samples_key", *[R.clean_response(generate(F.concat(prompt, F.lit(" " * i)), make), ECHO).alias(f"source_description_{i + 1}") for i in range(variants)])
     tgt = pairs.select("target_column", "target_description").where("target_column is not null").groupBy("target_column").agg(F.min("target_description").alias("d"))
-    tgt = tgt.select("target_column", generate(describe_prompt(F.col("target_column"), existing=F.col("d")), make).alias("new_description"))
+    tgt = tgt.select("target_column", R.clean_response(generate(describe_prompt(F.col("target_column"), existing=F.col("d")), make), ECHO).alias("new_description"))
     x = keyed.join(src, ["source_column", "samples_key"], "left").join(tgt, "target_column", "left")
     return x.withColumn("target_description", F.coalesce("new_description", "target_description")).drop("new_description")
 

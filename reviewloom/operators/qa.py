@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions import rules as R
 from reviewloom.operators.analytics import QUESTIONS
+from reviewloom.operators.models import http_generator
+from reviewloom.sources.files import write_csv
 
 WORDING = {
     "g01_round1_count": "How many comments are in round 1?",
@@ -48,6 +50,33 @@ def answer(review: DataFrame, question: str) -> str:
     return "" if row is None or row[0] is None else str(row[0])
 
 
+def server_asker(review: DataFrame, url: str, model: str, context: str = "", tokens: int = 1000, timeout: float = 300, retries: int = 3) -> Callable[[str], str]:
+    """A model on a generation server, told the columns of the table and, before each question, the context.
+
+    The model answers in words from what it is told; no code that it writes is run.
+    """
+    ask = http_generator(url, model, tokens=tokens, stop=(), timeout=timeout, retries=retries)()
+    told = context or "A table of review comments has these columns: " + ", ".join(f"{c} ({t})" for c, t in review.dtypes) + "."
+
+    def answer_one(question: str) -> str:
+        text = ask([f"{told}\n\n{question}"])[0]
+        if not text:
+            raise ConnectionError("the model gave no answer")
+        return text
+
+    return answer_one
+
+
+def write_results(results: DataFrame, folder: str) -> int:
+    """K8: the results as CSV and a log of them as text, in `folder`; gives the exit code."""
+    rows = results.orderBy("test_number")
+    write_csv(rows.coalesce(1), f"{folder}/results")
+    line = F.format_string("%d. %s | given: %s | actual: %s | %s | %.2f s", "test_number", "question", "given_answer", "actual_answer", F.when(F.col("match"), "match").otherwise("no match"), "response_time_seconds")
+    total = results.agg(F.format_string("%d of %d match", F.count_if("match"), F.count("*")).alias("value"))
+    rows.select(line.alias("value")).coalesce(1).unionByName(total).coalesce(1).write.mode("overwrite").text(f"{folder}/log")
+    return passed(results)
+
+
 def evaluate(review: DataFrame, ask: Callable[[str], str]) -> DataFrame:
     """Each question put to `ask` and held against the registered answer; one row per question.
 

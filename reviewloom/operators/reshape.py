@@ -92,13 +92,9 @@ def wide_to_long(rows: DataFrame, keys: list[str], rounds: int) -> DataFrame:
     def col(t: str, k: int) -> Column:
         return F.col(f"{t}_{k}") if f"{t}_{k}" in rows.columns else F.lit(None).cast("string")
 
-    def own(t: str, k: int) -> Column:
-        v = R.strip(col(t, k))
-        return F.when((v != "") & (v != "-"), col(t, k))
-
     def one(k: int) -> Column:
-        c, r = (F.nullif(R.strip(col(t, k)), F.lit("")) for t in ("comment_text", "response_text"))
-        meta = [F.coalesce(own(t, k), own(t, 1)).alias(t) for t in ("date_received", "date_responded", "status", "comment_type")]
+        c, r = (F.when(has_text(col(t, k)), R.strip(col(t, k))) for t in ("comment_text", "response_text"))
+        meta = [F.coalesce(own_value(col(t, k)), own_value(col(t, 1))).alias(t) for t in ("date_received", "date_responded", "status", "comment_type")]
         return F.struct(F.lit(k).alias("round"), c.alias("comment_text"), r.alias("response_text"), *meta)
 
     x = rows.select(*keys, F.explode(F.array(*[one(k) for k in range(1, rounds + 1)])).alias("p"))
@@ -123,6 +119,26 @@ def agency(has_agency: Column, agency: Column, identifier: Column, author: Colum
     return F.when(has_agency, R.agency_code(agency)).otherwise(F.coalesce(F.nullif(R.agency_from_id(identifier), F.lit("")), R.agency_from_author(author)))
 
 
+def by_value(rows: DataFrame, column: str, results: DataFrame) -> DataFrame:
+    """rows with the columns of `results`, which has one row per different value of the column (null included).
+
+    For rules that cost much more than a join and columns of few values; Spark
+    broadcasts the results where they turn out small and sorts both sides else.
+    """
+    r = results.withColumnRenamed(column, "_value")
+    return rows.join(r, F.equal_null(F.col(column), F.col("_value"))).drop("_value")
+
+
+def own_value(c: Column) -> Column:
+    """A round's own metadata: null, blank and '-' have none."""
+    return F.when(~R.strip(c).isin("", "-"), c)
+
+
+def has_text(c: Column) -> Column:
+    """a comment or response that keeps its round."""
+    return F.coalesce(R.strip(c) != "", F.lit(False))
+
+
 def transform(rows: DataFrame, rules: dict[str, callable] | None = None) -> DataFrame:
     """The value rules on their columns; `rules` may replace or add some."""
     own = {"agency": R.agency_code, "author": R.author, "date_received": R.standard_date, "date_responded": R.standard_date, "status": R.status, "comment_type": R.comment_type} | (rules or {})

@@ -3,23 +3,29 @@
     python -m reviewloom.pipeline preprocess IN OUT      column pairs for matching
     python -m reviewloom.pipeline process IN OUT MATCHES normalized table and report
     python -m reviewloom.pipeline full IN OUT MATCHES    both; stops where MATCHES is missing
+    python -m reviewloom.pipeline describe PAIRS OUT     descriptions of the columns
+    python -m reviewloom.pipeline match PAIRS OUT        match results, votes and candidates
+    python -m reviewloom.pipeline qa NORMALIZED OUT      the questions, their answers and a log
+
+Models, test modes and thresholds come from REVIEWLOOM_ variables (`config.py`).
 """
 
 from __future__ import annotations
 
 import argparse
-import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from reviewloom import rulesdata as D
 from reviewloom.common import cut, ship
+from reviewloom.config import JobConfig
 from reviewloom.functions import rules as R
 from reviewloom.operators import analytics as A
 from reviewloom.operators import ingest as I
 from reviewloom.operators import matching as M
-from reviewloom.operators import models
+from reviewloom.operators import models, qa
 from reviewloom.operators import reshape as S
 from reviewloom.sources import files, xlsx
 
@@ -88,10 +94,9 @@ def normalize(read: DataFrame, mapping: DataFrame, wide_rules: bool = True, roun
 
     row = W.partitionBy("source_file", "row_idx")
     base = lambda v: F.max(F.when(F.col("k") == 1, v)).over(row)
-    own = {t: F.when(~R.strip(F.col(t)).isin("", "-"), F.col(t)) for t in META}
+    own = {t: S.own_value(F.col(t)) for t in META}
     p = p.withColumns({t: F.coalesce(v, base(v)) for t, v in own.items()} | {t: base(F.col(t)) for t in D.TARGETS if t not in REPEATED})
-    full = lambda t: F.coalesce(R.strip(F.col(t)) != "", F.lit(False))
-    p = p.where((F.col("data_structure") == "long") | full("comment_text") | full("response_text"))
+    p = p.where((F.col("data_structure") == "long") | S.has_text(F.col("comment_text")) | S.has_text(F.col("response_text")))
     has = m.groupBy("source_file").agg(*[F.max((F.col("target_column") == t).cast("int")).alias(f"has_{t}") for t in ("comment_id", "agency")])
     numbers = S.auto_id(read.select("source_file", "row_idx").distinct(), "source_file", "row_idx")
     p = p.join(has, "source_file").join(numbers, ["source_file", "row_idx"], "left")
@@ -117,52 +122,105 @@ def report(rows: DataFrame) -> str:
     return "\n".join(lines) + "\n"
 
 
-def match(pairs: DataFrame, embedder=None, judge=None, describer=None, k: int = 5, threshold: float = 0.25) -> DataFrame:
+def candidates(d: DataFrame, embedder, k: int = 5, threshold: float = 0.25) -> DataFrame:
+    """The pairs of the described table that pass the pre-filter by embeddings."""
+    text = lambda i: models.embed(models.embed_text(F.col("source_column"), F.col(f"source_description_{i}")), embedder).alias(f"v{i}")
+    src = M.first_by(d, ["source_column"], "source_file", "sample_1").select("source_column", text(1), text(2), text(3))
+    tgt = d.select("target_column", "target_description").distinct().select("target_column", models.embed(models.embed_text(F.col("target_column"), F.col("target_description")), embedder).alias("v"))
+    return M.expand(M.prefilter(src, tgt, k, threshold), d)
+
+
+def described(pairs: DataFrame, describer=None, variants: int = 3) -> DataFrame:
+    """The pair table with descriptions of columns and targets; models are asked once and their answers written."""
+    return cut(models.describe(pairs.withColumn("pair_id", F.monotonically_increasing_id()), describer or models.name_describer, variants))
+
+
+def match(pairs: DataFrame, embedder=None, judge=None, describer=None, k: int = 5, threshold: float = 0.25, settings: JobConfig | None = None, out: str | None = None) -> DataFrame:
     """Describe, pre-filter by embeddings, judge three times, vote, propagate.
 
-    The models default to the offline stand-ins.
+    The models default to the offline stand-ins. F3: a target that is the
+    project itself is no candidate. With `out`, the candidates, the filtered
+    pair table, all results, the accepted ones and the votes are written there
+    (K6, K7).
     """
+    c = settings or JobConfig(top_k=k, threshold=threshold)
     embedder, judge, describer = embedder or models.hash_embedder, judge or models.keyword_judge, describer or models.name_describer
-    # Models are asked once; what they say is written before it is used again.
-    d = cut(models.describe(pairs.withColumn("pair_id", F.monotonically_increasing_id()), describer))
-    text = lambda i: models.embed(models.embed_text(F.col("source_column"), F.col(f"source_description_{i}")), embedder).alias(f"v{i}")
-    src = M.first_by(d, ["source_column"], "source_file", "sample_1").select("source_column", text(1), text(2), text(3))
-    tgt = d.select("target_column", "target_description").distinct().select("target_column", models.embed(models.embed_text(F.col("target_column"), F.col("target_description")), embedder).alias("v"))
-    kept = cut(M.expand(M.prefilter(src, tgt, k, threshold), d))
-    return M.propagate(pairs, cut(models.judge(kept, judge)))
+    d = described(c.test_rows(pairs.where("target_column is null or lower(target_column) <> 'project'")), describer, c.variants)
+    kept = cut(candidates(d, embedder, c.top_k, c.threshold) if c.prefilter else d)
+    judged = cut(models.judge(kept, judge, c.reasoned, c.with_samples))
+    if out:
+        if c.prefilter:
+            files.write_candidates(kept.select("source_column", "target_column", "similarity_score", "best_description_num").distinct(), kept, out)
+        files.write_matches(judged, out)
+    return M.propagate(pairs, judged)
 
 
 def preprocess(spark: SparkSession, folder: str, out: str) -> DataFrame:
     pairs = column_pairs(I.read(xlsx.cells(spark, folder).where("vtype <> 'error'")))
-    files.write_csv(pairs, os.path.join(out, "column_pairs"))
+    files.write_csv(pairs, f"{out}/column_pairs")
     return pairs
 
 
+def describe(spark: SparkSession, pairs: str, out: str, settings: JobConfig) -> DataFrame:
+    """K5: the pair table with descriptions, and the descriptions of each column by themselves."""
+    _, _, describer = models.plug_ins(settings.model, settings.server, settings.embedding, settings.reasoned)
+    d = described(settings.test_rows(files.require(files.read_csv(spark, pairs, files.PAIRS), ["source_column", "target_column"])), describer, settings.variants)
+    files.write_csv(d.drop("samples_key"), f"{out}/described")
+    files.write_csv(M.first_by(d, ["source_column", "samples_key"], "pair_id").select("source_column", F.to_json("samples_key").alias("samples"), *[c for c in d.columns if c.startswith("source_description_")]), f"{out}/descriptions")
+    return d
+
+
+def match_files(spark: SparkSession, pairs: str, out: str, settings: JobConfig) -> DataFrame:
+    """The pair table of `preprocess` to match results, under a folder named after the settings."""
+    embedder, judge, describer = models.plug_ins(settings.model, settings.server, settings.embedding, settings.reasoned)
+    p = files.require(files.read_csv(spark, pairs, files.PAIRS), ["source_column", "target_column", "source_file", *files.sample_columns(files.read_csv(spark, pairs, files.PAIRS))])
+    got = match(p, embedder, judge, describer, settings=settings, out=f"{out}/{settings.run_name()}")
+    files.write_csv(got, f"{out}/{settings.run_name()}/matches")
+    return got
+
+
+def questions(spark: SparkSession, rows: str, out: str, settings: JobConfig) -> int:
+    """The fifteen questions put to the routed queries, or to a model on a server; exit code 0 if all answers match."""
+    t = spark.read.parquet(rows)
+    r = cut(A.review(t if "rec_id" in t.columns else t.withColumn("rec_id", F.monotonically_increasing_id())))
+    ask = (lambda q: qa.answer(r, q)) if settings.model == "offline" else qa.server_asker(r, settings.server, settings.model)
+    return qa.write_results(qa.evaluate(r, ask), out)
+
+
 def process(spark: SparkSession, folder: str, out: str, matches: str) -> DataFrame:
     rows = normalize(I.read(xlsx.cells(spark, folder).where("vtype <> 'error'")), mappings(files.read_csv(spark, matches)))
-    rows.write.mode("overwrite").parquet(os.path.join(out, "normalized"))
-    rows = spark.read.parquet(os.path.join(out, "normalized"))
-    files.write_csv(rows, os.path.join(out, "combined"))
-    files.write_csv(rows, os.path.join(out, "individual"), by="source_file")
-    with open(os.path.join(out, "summary.txt"), "w", encoding="utf-8") as f:
-        f.write(report(rows))
+    rows.write.mode("overwrite").parquet(f"{out}/normalized")
+    rows = spark.read.parquet(f"{out}/normalized")
+    files.write_csv(rows, f"{out}/combined")
+    files.write_csv(rows, f"{out}/individual", by="source_file")
+    spark.createDataFrame([(report(rows),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/summary")
     return rows
 
 
 def main(args: list[str] | None = None) -> int:
-    p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("mode", choices=("preprocess", "process", "full"))
+    p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    p.add_argument("mode", choices=("preprocess", "process", "full", "describe", "match", "qa"))
     p.add_argument("input")
     p.add_argument("output")
     p.add_argument("matches", nargs="?")
     a = p.parse_args(args)
+    settings = JobConfig.of()
     spark = SparkSession.builder.appName("reviewloom").getOrCreate()
     ship(spark)
-    os.makedirs(a.output, exist_ok=True)
+    if a.mode == "describe":
+        describe(spark, a.input, a.output, settings)
+    if a.mode == "match":
+        match_files(spark, a.input, a.output, settings)
+    if a.mode == "qa":
+        return questions(spark, a.input, a.output, settings)
     if a.mode in ("preprocess", "full"):
         preprocess(spark, a.input, a.output)
     if a.mode in ("process", "full"):
-        if not a.matches or not os.path.exists(a.matches):
+        try:
+            if not a.matches:
+                raise ValueError("none named")
+            files.read_csv(spark, a.matches)
+        except (AnalysisException, ValueError):
             print("match results are missing")
             return 1
         process(spark, a.input, a.output, a.matches)

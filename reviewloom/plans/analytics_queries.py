@@ -86,7 +86,9 @@ _add("scalars", lambda r: r.agg(F.count("*").alias("rows"), F.count_distinct("pr
 _add("share_of_total", lambda r: A.share_of_total(r).withColumn("share", F.round("share", 9)), "SELECT project, agency, n, round(n / sum(n) OVER (PARTITION BY project), 9) AS share FROM (SELECT project, agency, count(*) AS n FROM rv WHERE project IS NOT NULL AND agency IS NOT NULL GROUP BY ALL)")
 _add("semi_top", lambda r: r.join(A.top(r, "project", 13), "project", "left_semi").groupBy("project").agg(F.count("*").alias("n"), F.count(A.RT).alias("answered")), "SELECT project, count(*) AS n, count(rt) AS answered FROM rv WHERE project IN (SELECT project FROM rv WHERE project IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, project LIMIT 13) GROUP BY 1")
 _add("date_window", lambda r: r.where(F.col("date_received").between("2018-06-01", "2019-12-31")).select("rec_id", F.col("date_received").cast("string")), "SELECT rec_id, date_received::VARCHAR AS date_received FROM rv WHERE date_received BETWEEN DATE '2018-06-01' AND DATE '2019-12-31'")
-_add("response_sane", lambda r: A.sane(r).select("rec_id", A.RT), "SELECT rec_id, rt AS response_days FROM rv WHERE response_text IS NOT NULL AND rt BETWEEN 0 AND 5000")
+_add("response_sane", lambda r: A.sane(r).select("rec_id", A.RT), "SELECT rec_id, rt AS response_days FROM rv WHERE date_responded IS NOT NULL AND rt BETWEEN 0 AND 5000")
+_add("years_since_2000", lambda r: r.where((F.year("date_received") >= 2000) & (F.year("date_responded") >= 2000)).select("rec_id"), "SELECT rec_id FROM rv WHERE year(date_received) >= 2000 AND year(date_responded) >= 2000")
+
 _add("response_days", lambda r: r.where(f"{A.RT} is not null").select("rec_id", A.RT), "SELECT rec_id, rt AS response_days FROM rv WHERE rt IS NOT NULL")
 _add("round_group", lambda r: r.select("rec_id", "round_group"), "SELECT rec_id, rg AS round_group FROM rv")
 _add("r1_r3plus_label", lambda r: r.select("rec_id", A.R.round_label(F.col("round")).alias("label")), "SELECT rec_id, CASE WHEN round=1 THEN 'r1' WHEN round>=3 THEN 'r3plus' ELSE 'other' END AS label FROM rv")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewloom import rulesdata as D
 from reviewloom.common import PLACEHOLDERS, filled, is_empty, sql_empty, table
+from reviewloom.operators.reshape import by_value
 from reviewloom.functions import rules as R
 
 QUERIES: dict = {}
@@ -158,3 +159,15 @@ SQL["prompt_build"] = (
     " 'Describe the database column ' || target_column || ' of a review tracker in one sentence of at most 25 words.' || chr(10) || coalesce('Current description: ' || target_description, 'Sample values: (none provided)') || chr(10) || 'This column' AS describe,"
     f" concat_ws(' ', source_column, source_description) AS embed FROM {_J}"
 )
+
+
+def _per_row(name: str, column: str, source: str = _N, key: str = "rec_id") -> None:
+    """The rule's result for every row of the table, by the value in its column."""
+    rule, sql = QUERIES[name], SQL[name]
+    QUERIES[name] = lambda spark, d: by_value(table(spark, d, source).select(key, F.col(column).alias("value")), "value", rule(spark, d)).drop("value")
+    SQL[name] = f"SELECT n.{key}, x.* EXCLUDE (value) FROM {source} n JOIN ({sql}) x ON n.{column} IS NOT DISTINCT FROM x.value"
+
+
+for _n, _c in {"agency_from_id": "comment_id", "agency_code": "agency", "author_agency": "author", "author_clean": "author", "date_std": "date_received", "status_norm": "status", "type_norm": "comment_type", "round_extract": "round", "base_id_round": "comment_id"}.items():
+    _per_row(_n, _c)
+_per_row("colname_norm", "source_column", "jellyfish_input_example", "pair_id")

@@ -171,10 +171,14 @@ def voting_summary(spark, d):
 _UV = f"uv AS (SELECT source_column, target_column, processed_output FROM {_V} QUALIFY row_number() OVER (PARTITION BY source_column, target_column ORDER BY pair_id) = 1)"
 
 
-@query(f"WITH {_UV} SELECT pair_id, source_column, target_column, coalesce(processed_output, 'Unknown') AS processed_output FROM {_J} LEFT JOIN uv USING (source_column, target_column)")
+@query(
+    f"SELECT p.pair_id, p.source_column, p.target_column, coalesce(v.output_1, 'Unknown') AS processed_output_1, coalesce(v.output_2, 'Unknown') AS processed_output_2, coalesce(v.output_3, 'Unknown') AS processed_output_3, coalesce(v.processed_output, 'Unknown') AS processed_output,"
+    " " + ", ".join(f"'Not generated (filtered out)' AS prompt_{i}, 'Not processed (filtered out)' AS raw_output_{i}" for i in (1, 2, 3)) +
+    f" FROM {_J} p LEFT JOIN (SELECT * FROM {_V} QUALIFY row_number() OVER (PARTITION BY source_column, target_column ORDER BY pair_id) = 1) v USING (source_column, target_column)"
+)
 def propagate(spark, d):
     once = M.first_by(table(spark, d, _V), ["source_column", "target_column"], "pair_id")
-    return M.propagate(table(spark, d, _J).select("pair_id", "source_column", "target_column"), once).select("pair_id", "source_column", "target_column", "processed_output")
+    return M.propagate(table(spark, d, _J).select("pair_id", "source_column", "target_column"), once)
 
 
 @query(f"SELECT source_column, target_column, source_file, count(*) AS n FROM {_J} GROUP BY ALL HAVING count(*) > 1")
@@ -343,6 +347,23 @@ def transform(spark, d):
 # ------------------------------------------------------------ composites
 
 
+@query(f"SELECT rec_id, round((epoch_us(loaded_at) - epoch_us(TRY_CAST(date_received AS TIMESTAMP))) / 86400000000.0, 6) AS days FROM {_N} WHERE loaded_at IS NOT NULL AND regexp_full_match(date_received, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND TRY_CAST(date_received AS TIMESTAMP) IS NOT NULL")
+def fractional_days(spark, d):
+    """C17: days with their fraction, here from the comment to its load."""
+    x = table(spark, d, _N).select("rec_id", "loaded_at", R.to_date(F.col("date_received")).alias("day"))
+    return x.where("day is not null and loaded_at is not null").select("rec_id", F.round(R.days_between(F.col("day"), F.col("loaded_at")), 6).alias("days"))
+
+
+@query(
+    "WITH c AS (SELECT rec_id, trim(replace(regexp_replace(regexp_replace(response_text, '^\\s+|\\s+$', '', 'g'), 'The', '', 'g'), chr(0), '')) AS r FROM normalized_output_example WHERE regexp_full_match(response_text, '[!-~ ]+'))"
+    " SELECT rec_id, r AS response FROM c"
+)
+def clean_response(spark, d):
+    """White space and an echoed instruction (here a common word) taken off a model's text."""
+    x = table(spark, d, _N).where(F.col("response_text").rlike("^[!-~ ]+$") & ~F.col("response_text").contains("\n"))
+    return x.select("rec_id", R.clean_response(F.col("response_text"), "The").alias("response"))
+
+
 @query()
 def column_pairs(spark, d):
     """Columns beside targets, with samples and descriptions."""

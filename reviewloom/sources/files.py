@@ -21,7 +21,8 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def write_csv(df: DataFrame, path: str, by: str | None = None) -> None:
-    """K1-K3, K5-K8: CSV with a header; `by` gives a folder per value (K2), the column kept."""
+    """K1-K3, K5-K8: CSV with a header; `by` gives a folder per value (K2), the column kept. Arrays, maps and structs are written as JSON."""
+    df = df.withColumns({c: F.to_json(c) for c, kind in df.dtypes if kind.startswith(("array", "map", "struct"))})
     w = df.withColumn("_part", F.col(by)) if by else df
     out = w.write.mode("overwrite").option("header", True).option("escape", '"')
     (out.partitionBy("_part") if by else out).csv(path)

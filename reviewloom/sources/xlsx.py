@@ -1,6 +1,7 @@
 """Workbooks as a Spark data source, and a small writer for fixtures.
 
-`spark.read.format("workbook_cells").load(folder)` gives one row per cell with
+`cells` reads a folder on any storage; after registering `WorkbookSource`,
+`spark.read.format("workbook_cells").load(folder)` does so for local folders. Both give one row per cell with
 the uniform schema of the engine, whatever the layout of a file. Files are the
 unit of parallelism; only the standard library reads them. Filters on row_idx
 are not needed for correctness and left to Spark.
@@ -13,13 +14,16 @@ vtype `error`, so that it is reported instead of ending the job.
 from __future__ import annotations
 
 import datetime as dt
+import io
 import os
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -56,9 +60,9 @@ def _date_styles(z: zipfile.ZipFile) -> set[int]:
     return {i for i, x in enumerate(xfs if xfs is not None else []) if int(x.get("numFmtId", 0)) in _DATE_FORMATS | own}
 
 
-def read_cells(path: str) -> Iterator[tuple]:
-    """All filled cells of a workbook, sheet by sheet, typed as the file types them."""
-    name = os.path.basename(path)
+def read_cells(path, name: str | None = None) -> Iterator[tuple]:
+    """All filled cells of a workbook (a path or an open file), sheet by sheet, typed as the file types them."""
+    name = name or os.path.basename(path)
     with zipfile.ZipFile(path) as z:
         names = set(z.namelist())
         shared = _texts(ET.fromstring(z.read("xl/sharedStrings.xml"))) if "xl/sharedStrings.xml" in names else []
@@ -114,10 +118,7 @@ class _Reader(DataSourceReader):
         return [_File(f) for f in list_files(self.folder)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        try:
-            yield from read_cells(partition.value)
-        except (zipfile.BadZipFile, KeyError, ET.ParseError, OSError) as e:
-            yield os.path.basename(partition.value), None, None, None, None, f"{type(e).__name__}: {e}", "error"
+        yield from _or_error(os.path.basename(partition.value), partition.value)
 
 
 class WorkbookSource(DataSource):
@@ -135,11 +136,32 @@ class WorkbookSource(DataSource):
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:
-    """The cells of all workbooks of a folder."""
-    if not list_files(folder):
-        return spark.createDataFrame([], SCHEMA)
-    spark.dataSource.register(WorkbookSource)
-    return spark.read.format("workbook_cells").load(folder)
+    """The cells of all workbooks of a folder, on any storage that Spark reads.
+
+    Files are read as binary rows and parsed where they land; a folder without
+    workbooks has no cells.
+    """
+    books = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(folder)
+    # A path's name comes escaped.
+    books = books.select(F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B"))).alias("name"), "content").where(~F.col("name").startswith("~"))
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in SCHEMA.split(", ")]
+        for batch in batches:
+            for name, content in zip(batch.name, batch.content):
+                rows = iter(_or_error(name, io.BytesIO(content)))
+                while part := list(islice(rows, 50_000)):
+                    yield pd.DataFrame(part, columns=columns).astype({c: "Int32" for c in ("sheet_idx", "row_idx", "col_idx")})
+
+    return books.mapInPandas(parse, SCHEMA)
+
+
+def _or_error(name: str, file) -> Iterator[tuple]:
+    """A workbook's cells, or one row with the error."""
+    try:
+        yield from read_cells(file, name)
+    except (zipfile.BadZipFile, KeyError, ET.ParseError, OSError) as e:
+        yield name, None, None, None, None, f"{type(e).__name__}: {e}", "error"
 
 
 def errors(all_cells: DataFrame) -> DataFrame:
