@@ -141,7 +141,7 @@ def test_no_training_sentence_is_in_the_tables(spark):
     for form in (training.WITH + "\n" + training.WITHOUT + "\n" + training.FILL).split("\n"):
         parts = re.split(r"\{\w+\}", form.replace("|", " "))
         if sum(map(len, parts)) >= 12:
-            assert not re.search(".{1,60}?".join(map(re.escape, parts)), texts), form
+            assert max(parts, key=len) not in texts or not re.search(".{1,60}?".join(map(re.escape, parts)), texts), form
 
 
 def test_model_is_fitted_once_and_saved(spark, found, tmp_path):
