@@ -66,9 +66,12 @@ _STRONG_END = re.compile(rf"(?i)\b(?:{_STRONG})[\s,:–-]*$")
 _WEAK = frozenset("by from with to for of per de and".split())
 _BETWEEN = frozenset("de da do dos la van von der den bin al del di ter y e".split())
 _OFFICE = frozenset("office branch desk department board committee council team division registry ministry agency authority commission bureau unit service institute nation band club association".split())
-_SHAPED = re.compile(
-    rf"(?:\b(?P<title>(?:[Mm]rs?|MRS?|[Mm]s|MS|[Dd]r|DR|[Pp]rof|[Pp]rofessor)\b\.?)\s|\b(?i:(?P<strong>{_STRONG})|by|from|with|to|for|of|per|de|and)\b(?:[\s,:–-]|(?<=[Aa]ttn)\.))[\s,:–-]{{0,3}}(?P<run>[^\W\d_a-z][\w'’.-]*(?:{r'[  ]'}(?:(?:de|da|la|van|von|der|bin|al|del|di)[  ])*[^\W\d_a-z][\w'’.-]*){{0,4}})"
-)
+_CAP = r"[A-ZÀ-ÖØ-Þ][\w'’.-]*"
+_RUN = re.compile(rf"{_CAP}(?:[ \u00a0](?:(?:de|da|la|van|von|der|bin|al|del|di)[ \u00a0])*{_CAP}){{0,4}}")
+_LAST = re.compile(r"([^\W\d_]+)\.?[\s,:–-]{1,4}$")
+# The last words of cues.
+_LEADS = frozenset("is am contact sincerely truly regards to attn attention signed dear thanks of ask asked call called cc for by name neighbour reach met meet with from per de and".split())
+_TITLE_WORDS = frozenset("mr mrs ms dr prof professor".split())
 # Words, units and elements of two letters that stand beside names and are none.
 _BRIEF_WORDS = frozenset("am be do go me up us ok re vs pm et du de la le il un ce se si en au ag cu pb zn fe mn mo ni co cd cr hg kg km cm mm ml mg ha st rd dr mr ms".split())
 _LETTERED = frozenset("appendix section table figure zone phase item part annex schedule area plate sheet option class type grade".split())
@@ -321,13 +324,11 @@ def people(t: str, lex: Lexicon) -> list:
         for a, b, *_ in have:
             longest[a] = max(b, longest.get(a, 0))
         starts = [x[1] for x in tok]
-        for m in _SHAPED.finditer(t):
-            title = m["title"] is not None
-            if not (title or m["strong"]) and _NO_NAME & set(_BARE.findall(m["run"].lower())):
-                continue
-            start = bisect_left(starts, m.start("run"))
-            first = bisect_left(starts, m.start("title")) if title else start
-            if start >= n or starts[start] != m.start("run"):
+        for title_at, _, run_at, _ in _shaped(t):
+            title = title_at is not None
+            start = bisect_left(starts, run_at)
+            first = bisect_left(starts, title_at) if title else start
+            if start >= n or starts[start] != run_at:
                 continue
             j, capitals = start, 0
             while j < n and capitals < 5:
@@ -432,6 +433,29 @@ def people(t: str, lex: Lexicon) -> list:
     return out + shapes(out)
 
 
+def _shaped(t: str) -> Iterator[tuple[int | None, bool, int, int]]:
+    """(start of the title or none, whether the cue is strong, start and end of the run) of capital words behind a title or a cue.
+
+    Behind a weak cue the common places, firms and offices are no candidates.
+    """
+    for m in _RUN.finditer(t):
+        at, end = m.span()
+        before = _LAST.search(t, max(0, at - 24), at)
+        lead, lead_at = (before[1].lower(), before.start(1)) if before else ("", at)
+        while True:
+            if lead in _TITLE_WORDS and "\n" not in t[lead_at:at]:
+                yield lead_at, True, at, end
+            elif lead in _LEADS and t[at - 2 : at - 1] not in (".", "!", "?"):
+                strong = bool(_STRONG_END.search(t, max(0, at - 40), at))
+                if strong or not _NO_NAME & set(_BARE.findall(t[at:end].lower())):
+                    yield None, strong, at, end
+            # The next word of the run, behind the one before.
+            gap = t.find(" ", at, end)
+            if gap < 0:
+                break
+            lead, lead_at, at = t[at:gap].rstrip(".").lower(), at, gap + 1
+
+
 def _may_name(t: str, words: set[str], lex: Lexicon) -> bool:
     """A cheap test that people() can propose anything."""
     if not lex.known.isdisjoint(words) or not _TITLED.isdisjoint(words) or _INITIAL.search(t) or not t.isascii():
@@ -440,11 +464,7 @@ def _may_name(t: str, words: set[str], lex: Lexicon) -> bool:
         return True
     if any(w[:4].lower() in lex.heads for w in _CAPITAL.findall(t)):
         return True
-    for m in _SHAPED.finditer(t):
-        # Behind a weak cue the common places, firms and offices are no candidates.
-        if m["title"] or m["strong"] or not _NO_NAME & set(_BARE.findall(m["run"].lower())):
-            return True
-    return False
+    return next(_shaped(t), None) is not None
 
 
 def proposals(t: str, lex: Lexicon) -> list:
