@@ -176,15 +176,17 @@ def checked(docs: DataFrame) -> DataFrame:
     bad = cut(hosts(m).where("host_bad").select("host"))
     failed = m.where("n_repeated is not null").select("doc_id", "n_words", "n_repeated")
 
-    @F.pandas_udf("n_words int, n_repeated int")
-    def unfailed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
+    def unfailed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
             # What failed a rule has its exact check already.
-            rows = [(m[0], exact(t)) if not fails(m := rules(t)) else (None, None) for t in s]
-            yield pd.DataFrame(rows, columns=["n_words", "n_repeated"]).astype("Int32")
+            rows = [(k, m[0], exact(t)) for k, t in zip(pdf.doc_id, pdf.text) if not fails(m := rules(t))]
+            out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_repeated"])
+            out["doc_id"] = pd.array([None if k is None else int(k) for k, *_ in rows], dtype="Int64")
+            yield out
 
-    rest = docs.select("doc_id", _host(), "text").join(maybe_broadcast(bad), "host", "left_semi")
-    rest = rest.select("doc_id", unfailed("text").alias("m")).select("doc_id", "m.*").where("n_words is not null")
+    # The key travels as text: a null would turn a batch of numbers into floats.
+    rest = docs.select(F.col("doc_id").cast("string"), _host(), "text").join(maybe_broadcast(bad), "host", "left_semi")
+    rest = rest.select("doc_id", "text").mapInPandas(unfailed, "doc_id bigint, n_words int, n_repeated int")
     return failed.unionByName(rest)
 
 
