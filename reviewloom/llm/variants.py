@@ -227,7 +227,8 @@ def link(values: DataFrame, known: DataFrame | None = None) -> DataFrame:
         idx, prb = split(idx, "c", False), split(prb, "form", True)
     better = F.col("cl") | (F.col("cn") > F.col("n")) | ((F.col("cn") == F.col("n")) & (F.col("c") < F.col("form")))
     pairs = prb.join(idx, [*scope, "key"]).where((F.col("form") != F.col("c")) & better).select(*scope, "form", "n", "c", "cn", "cl", "cc").distinct()
-    pairs = cut(pairs.withColumn("way", way("kind", "form", "c", "cc")).select("*", "way.price", "way.changed").drop("way").where("price is not null"))
+    # Written before the filter, which would ask for every price a second time.
+    pairs = cut(pairs.withColumn("way", way("kind", "form", "c", "cc")).select("*", "way.price", "way.changed").drop("way")).where("price is not null")
 
     # What slips look like: changed letters towards a form many times as frequent.
     part = F.col("n") / (F.col("n") + F.col("cn"))
