@@ -44,7 +44,10 @@ def p5_found(spark, d):
 
 
 def p5_join(spark, d):
-    """The set-similarity join by itself: lower-case values and the list's names of a field whose letter pairs are half alike."""
+    """The set-similarity join by itself: lower-case values and the list's names of a field whose letter pairs are half alike.
+
+    Of printable ASCII only, as in its SQL; `p5_found` and `p5_unmatched` take every filled value.
+    """
     rows = table(spark, d, "normalized_output_example").select("agency", "status", "comment_type")
     low = lambda df, c: df.select("field_name", F.lower(c).alias("s")).where(F.col("s").rlike("^[ -~]+$"))
     probe = low(canonical.review_values(rows), "raw_value").withColumnRenamed("s", "p")
